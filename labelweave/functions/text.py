@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,11 +17,12 @@ SPACE = (
 # The same set as plain characters, for trimming.
 SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-URL_RUN = r"http[^ ]+|www[^ ]+"
+RUN = SPACE.replace("[", "[^", 1)
+URL_RUN = rf"http{RUN}+|www{RUN}+"
 # Tied to the start of a run, so that a long run without "@" is scanned once and not once per character.
-EMAIL_RUN = r"(^| )[^ ]+@[^ ]+"
-SYMBOL = r"[^\p{L}\p{N}_ -]"
-LETTERS_ONLY = r"^\p{L}+$"
+EMAIL_RUN = rf"(^|{SPACE}){RUN}+@{RUN}+"
+# One character of a word. The plain letters are listed first because they are the quickest to test.
+WORD = r"[a-z0-9_\p{L}\p{N}-]"
 # Decimal digits plus the superscripts, subscripts and enclosed figures that count as digits.
 DIGIT = (
     r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
@@ -29,17 +31,28 @@ DIGIT = (
 )
 
 
-def normalise(text: Column) -> Column:
-    """Lower case, without URLs, e-mail-like runs and symbols; words end up separated by blanks."""
-    blank = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACE, " ")
-    no_urls = F.regexp_replace(blank, URL_RUN, "")
-    no_mail = F.regexp_replace(no_urls, EMAIL_RUN, "$1")
-    return F.regexp_replace(no_mail, SYMBOL, " ")
+def without_addresses(text: Column) -> Column:
+    """Lower case, without URLs and e-mail-like runs.
+
+    The two patterns are only tried on texts that hold their first characters.
+    """
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    may_have_url = F.contains(lower, F.lit("http")) | F.contains(lower, F.lit("www"))
+    no_urls = F.when(may_have_url, F.regexp_replace(lower, URL_RUN, "")).otherwise(lower)
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(no_urls, EMAIL_RUN, "$1")).otherwise(no_urls)
 
 
 def raw_words(text: Column) -> Column:
-    """All words of the normalised text, nothing filtered."""
-    return F.filter(F.split(normalise(text), " "), lambda w: w != "")
+    """All words, nothing filtered; white space and symbols separate them."""
+    return F.regexp_extract_all(without_addresses(text), F.lit(f"{WORD}+"), F.lit(0))
+
+
+def _word_pattern(keep: Sequence[str], min_length: int) -> str:
+    """Whole words that are long enough and hold a digit or letters only, and the kept words those rules would miss."""
+    general = re.compile(rf"[^\W\d_]{{{min_length},}}")
+    others = [re.escape(word) for word in keep if not general.fullmatch(word)]
+    shapes = [rf"[a-z\p{{L}}]{{{min_length},}}", rf"(?={WORD}*{DIGIT}){WORD}{{{min_length},}}", *others]
+    return rf"(?<!{WORD})(?:{'|'.join(shapes)})(?!{WORD})"
 
 
 def clean_words(
@@ -52,18 +65,12 @@ def clean_words(
     """Meaningful words of a text in order.
 
     A word stays when it is in ``keep``, or when it is not in ``noise``, has at least ``min_length`` characters and
-    either holds a digit or consists of letters only. ``max_words=None`` keeps all of them.
+    either holds a digit or consists of letters only. ``max_words=None`` keeps all of them. One pattern finds the
+    words of the right shape between symbols and white space, so only those are looked up among the noise words.
     """
-
-    def survives(word: Column) -> Column:
-        meaningful = (
-            (F.length(word) >= min_length)
-            & ~word.isin(*noise)
-            & (word.rlike(LETTERS_ONLY) | word.rlike(DIGIT))
-        )
-        return word.isin(*keep) | meaningful if keep else meaningful
-
-    words = F.filter(F.split(normalise(text), " "), survives)
+    shaped = F.regexp_extract_all(without_addresses(text), F.lit(_word_pattern(keep, min_length)), F.lit(0))
+    dropped = sorted(set(noise) - set(keep))
+    words = F.filter(shaped, lambda word: ~word.isin(*dropped)) if dropped else shaped
     return words if max_words is None else F.slice(words, 1, max_words)
 
 

@@ -132,8 +132,10 @@ def classify(
         )
 
     given = F.col(hint) if hint else F.lit(None).cast("string")
+    # Marked so that a later filter on the prediction is not pushed below it, which would score every item twice.
+    once = predict.asNondeterministic()
     return (
-        items.withColumn("_best", predict(F.col(vector), given))
+        items.withColumn("_best", once(F.col(vector), given))
         .withColumns(
             {"predicted_standard": F.col("_best.std_id"), "confidence": F.col("_best.similarity")}
         )

@@ -95,12 +95,12 @@ def confusion_topk(predictions: DataFrame, k: int = 6) -> DataFrame:
         pairs.groupBy(TRUTH).agg(F.sum("n").alias("_total")).orderBy(F.desc("_total"), TRUTH).limit(k)
     )
     listed = top.agg(F.sort_array(F.collect_list(TRUTH)).alias("_top"))
-    cells = listed.select(F.explode("_top").alias(TRUTH), "_top").select(
-        TRUTH, F.explode("_top").alias(PREDICTED)
-    )
-    # At most k * k rows, whatever the input.
-    counted = pairs.join(F.broadcast(cells), [TRUTH, PREDICTED], "left_semi")
-    zeros = cells.withColumn("n", F.lit(0).cast("long"))
+    cells = listed.select(F.explode("_top").alias("_t"), "_top").select("_t", F.explode("_top").alias("_p"))
+    # At most k * k distinct rows, whatever the input. The null-safe inner join adds no filter below the counts, so
+    # all three uses of them share one shuffle.
+    in_cell = F.col(TRUTH).eqNullSafe(F.col("_t")) & F.col(PREDICTED).eqNullSafe(F.col("_p"))
+    counted = pairs.join(F.broadcast(cells), in_cell, "inner").select(TRUTH, PREDICTED, "n")
+    zeros = cells.select(F.col("_t").alias(TRUTH), F.col("_p").alias(PREDICTED), F.lit(0).cast("long").alias("n"))
     return counted.unionByName(zeros).groupBy(TRUTH, PREDICTED).agg(F.sum("n").alias("n"))
 
 

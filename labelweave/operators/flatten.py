@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelweave.functions.labels import category_of, primary_label
 from labelweave.functions.text import join_non_empty
 from labelweave.plans.running import running_offset
+from labelweave.schemas import BOOK, CLUSTER, GROUP
 
 #: Text parts of the profile form and of the match form, in joining order.
 PROFILE_TEXT = ("description", "text", "title")
@@ -60,6 +62,29 @@ def _items_of(value: Column) -> Column:
     )
 
 
+def _count_of(titles: Column) -> Column:
+    """Number of items of a catalogue, without unfolding them."""
+
+    def total(parents: Column, count) -> Column:
+        return F.aggregate(
+            F.coalesce(parents, F.array().cast(kinds[id(count)])),
+            F.lit(0).cast("long"),
+            lambda n, parent: n + count(parent),
+        )
+
+    def in_cluster(cluster: Column) -> Column:
+        return F.when(cluster["items"].isNull(), 0).otherwise(F.size(cluster["items"])).cast("long")
+
+    def in_group(group: Column) -> Column:
+        return total(group["clusters"], in_cluster)
+
+    def in_book(book: Column) -> Column:
+        return total(book["items"], in_group)
+
+    kinds = {id(in_cluster): T.ArrayType(CLUSTER), id(in_group): T.ArrayType(GROUP), id(in_book): T.ArrayType(BOOK)}
+    return total(titles, in_book)
+
+
 def flatten_items(
     catalogues: DataFrame,
     *,
@@ -76,23 +101,20 @@ def flatten_items(
     ``text_fields`` selects what goes into ``combined_text``, ``with_hint`` adds the group's first label and
     ``include_labels`` the item's own labels. ``carry`` names document columns to keep.
     """
-    documents = catalogues.select(
-        *carry,
-        *([order_by] if order_by and order_by not in carry else []),
-        F.raise_error(F.lit("catalogue without titles")).alias("_items")
-        if "titles" not in catalogues.columns
-        else F.when(F.col("titles").isNull(), F.raise_error(F.lit("catalogue without titles")))
-        .otherwise(_items_of(F.col("titles")))
-        .alias("_items"),
-    )
+    if "titles" not in catalogues.columns:
+        raise ValueError("catalogue without titles")
+    checked = F.when(F.col("titles").isNull(), F.raise_error(F.lit("catalogue without titles"))).otherwise(F.col("titles"))
     first_id = F.lit(0).cast("long")
     if order_by:
-        sizes = documents.select(order_by, F.size("_items").cast("long").alias("_n"))
-        documents = documents.join(running_offset(sizes, order_by, "_n", "_first"), order_by)
+        sizes = catalogues.select(order_by, _count_of(F.col("titles")).alias("_n"))
+        catalogues = catalogues.join(running_offset(sizes, order_by, "_n", "_first"), order_by)
         first_id = F.col("_first")
-    flat = documents.select(
-        *carry, first_id.alias("_first_id"), F.posexplode("_items").alias("_pos", "_item")
-    ).select(*carry, (F.col("_first_id") + F.col("_pos")).alias("item_id"), "_item.*")
+    # The outer form, because the inner one evaluates the unfolding once more in a filter on its size.
+    flat = (
+        catalogues.select(*carry, first_id.alias("_first_id"), F.posexplode_outer(_items_of(checked)).alias("_pos", "_item"))
+        .where(F.col("_pos").isNotNull())
+        .select(*carry, (F.col("_first_id") + F.col("_pos")).alias("item_id"), "_item.*")
+    )
     flat = flat.withColumn("combined_text", join_non_empty(*map(F.col, text_fields)))
     columns = [*carry, "item_id", "book_title", "concept", "domain"]
     columns += ["category_standard"] if with_hint else []

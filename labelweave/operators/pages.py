@@ -10,18 +10,22 @@ from labelweave.functions.text import clean_text, enrich
 from labelweave.functions.vocab import MAX_WORDS
 from labelweave.plans.running import first_rows
 from labelweave.plans.skew import HOT_ROWS, skew_join
+from labelweave.plans.spread import spread
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """``(url, url_content)``: one row per URL, the page with the smallest ``page_id`` where several share it.
+def extract_pages(pages: DataFrame, max_words: int = MAX_WORDS, **vocabularies) -> DataFrame:
+    """``(url, url_content, cleaned_url_content)``, one row per URL.
 
-    Markup is read once per page in the scan, before any join repeats it; only text is shuffled, and copies of a URL
-    are combined before the shuffle.
+    Where pages share a URL the one with the smallest ``page_id`` counts. Markup is read once per page in the scan and
+    its text cleaned once per URL, before any join repeats it; only text is shuffled, and copies of a URL are combined
+    before the shuffle.
     """
     return (
-        pages.select("url", "page_id", page_text(F.col("html")).alias("_text"))
+        spread(pages)
+        .select("url", "page_id", page_text(F.col("html")).alias("_text"))
         .groupBy("url")
         .agg(F.min_by("_text", "page_id").alias("url_content"))
+        .withColumn("cleaned_url_content", clean_text(F.col("url_content"), max_words, **vocabularies))
     )
 
 
@@ -33,7 +37,7 @@ def add_page_text(
     item_id: str = "item_id",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Left-join ``url_content`` by URL, '' where absent (H1-H3).
+    """Left-join the text columns of the pages by URL, '' where absent (H1-H3).
 
     ``max_items`` enriches only the first so many items with a URL, in item order. ``pages_text`` needs one row per
     URL, as ``extract_pages`` returns it.
@@ -44,17 +48,20 @@ def add_page_text(
         items = items.join(chosen.withColumn("_chosen", F.lit(True)), item_id, "left")
         url = F.when(F.col("_chosen"), url)
     keyed = items.withColumn("_url", F.nullif(url, F.lit("")))
-    pages_text = pages_text.select(F.col("url").alias("_url"), F.col("url_content"))
+    texts = [c for c in pages_text.columns if c != "url"]
+    pages_text = pages_text.withColumnRenamed("url", "_url")
     joined = skew_join(keyed, pages_text, "_url", "left", spread_by=item_id, hot_rows=hot_rows)
-    return joined.withColumn("url_content", F.coalesce("url_content", F.lit(""))).drop("_url", "_chosen")
+    return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in texts}).drop("_url", "_chosen")
 
 
 def enrich_items(items: DataFrame, max_words: int = MAX_WORDS, **vocabularies) -> DataFrame:
-    """Add the raw and the cleaned variant of the item text."""
+    """Add the raw and the cleaned variant of the item text (C1-C14, H8); text cleaned per page is taken over."""
     text, content = F.col("combined_text"), F.col("url_content")
+    if "cleaned_url_content" not in items.columns:
+        items = items.withColumn("cleaned_url_content", clean_text(content, max_words, **vocabularies))
     return items.withColumns(
         {
             "enhanced_text": enrich(text, content),
-            "cleaned_url_content": clean_text(content, max_words, **vocabularies),
+            "enhanced_text_cleaned": enrich(text, F.col("cleaned_url_content")),
         }
-    ).withColumn("enhanced_text_cleaned", enrich(text, F.col("cleaned_url_content")))
+    )

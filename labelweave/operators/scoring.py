@@ -128,7 +128,8 @@ def top_references(
         best, score = best_columns(to_unit(to_matrix(vectors, size)), matrix, k)
         return _as_matches(best, score, names)
 
-    return items.withColumn(out, match(vector))
+    # Marked so that a later filter on the matches is not pushed below it, which would score every item twice.
+    return items.withColumn(out, match.asNondeterministic()(vector))
 
 
 def _spread(df: DataFrame, sizes: DataFrame, by: str, own: str, other: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelweave.functions.labels import category_of
 from labelweave.operators.classify import label_relation
 from labelweave.operators.flatten import MATCH_TEXT, flatten_items
+from labelweave.plans.spread import spread
 from labelweave.sources.catalogue import parse_catalogue
 
 #: Customers per catalogue document.
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
 def vector_items(spark: SparkSession, sf_dir: str, per_class: int, categories: int) -> DataFrame:
     """Every embedding as an item; its true label is ``L{class}.{category}.{group}``, its group ``vec_id % per_class``."""
     group = F.col("vec_id") % per_class
@@ -71,7 +80,7 @@ def contained_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(item_id, true_standard)``: the first label all of whose sentences occur in the document."""
     labels = text_labels(spark, sf_dir).select("ord", "std_id", sentences(F.col("definition")).alias("_sentences"))
     wanted = labels.select("ord", "std_id", F.size("_sentences").alias("_all"), F.explode("_sentences").alias("sentence"))
-    found = table(spark, sf_dir, "documents").select(
+    found = documents(spark, sf_dir).select(
         F.col("doc_id").alias("item_id"), F.explode(sentences(F.col("text"))).alias("sentence")
     )
     return (
@@ -86,7 +95,7 @@ def contained_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: language and source as their metadata, the text as their page."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("item_id"),
         F.concat_ws(" ", "lang", "source").alias("combined_text"),
         F.col("text").alias("url_content"),

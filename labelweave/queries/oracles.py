@@ -23,9 +23,9 @@ def words_in(words: list[str]) -> str:
 
 def normalise(text: str) -> str:
     blank = f"regexp_replace(lower(coalesce({text}, '')), {q(T.SPACE)}, ' ', 'g')"
-    no_urls = f"regexp_replace({blank}, {q(T.URL_RUN)}, '', 'g')"
-    no_mail = f"regexp_replace({no_urls}, {q(T.EMAIL_RUN)}, '\\1', 'g')"
-    return f"regexp_replace({no_mail}, {q(T.SYMBOL)}, ' ', 'g')"
+    no_urls = f"regexp_replace({blank}, 'http[^ ]+|www[^ ]+', '', 'g')"
+    no_mail = f"regexp_replace({no_urls}, '[^ ]+@[^ ]+', '', 'g')"
+    return f"regexp_replace({no_mail}, '[^\\p{{L}}\\p{{N}}_ -]', ' ', 'g')"
 
 
 def raw_words(text: str) -> str:
@@ -36,7 +36,7 @@ def clean_words(text: str, max_words: int | None) -> str:
     kept = (
         f"list_filter(string_split({normalise(text)}, ' '), lambda w: list_contains({words_in(KEEP_WORDS)}, w) OR "
         f"(length(w) > 3 AND NOT list_contains({words_in(NOISE_WORDS)}, w) AND "
-        f"(regexp_matches(w, {q(T.LETTERS_ONLY)}) OR regexp_matches(w, {q(T.DIGIT)}))))"
+        f"(regexp_matches(w, '^\\p{{L}}+$') OR regexp_matches(w, {q(T.DIGIT)}))))"
     )
     return kept if max_words is None else f"list_slice({kept}, 1, {max_words})"
 

@@ -104,12 +104,12 @@ def compare_approaches(spark, sf_dir):
 
 @query
 def text_term_vectors(spark, sf_dir):
-    return term_counts(inputs.table(spark, sf_dir, "documents"), "doc_id", clean_words(F.col("text"), None))
+    return term_counts(inputs.documents(spark, sf_dir), "doc_id", clean_words(F.col("text"), None))
 
 
 @query
 def text_label_match(spark, sf_dir):
-    items = inputs.table(spark, sf_dir, "documents").select(
+    items = inputs.documents(spark, sf_dir).select(
         F.col("doc_id").alias("item_id"), hash_buckets(clean_words(F.col("text"), None)).alias("vector")
     )
     labels = inputs.text_labels(spark, sf_dir).withColumn(
@@ -229,7 +229,7 @@ def label_counts(spark, sf_dir):
 @query
 def summary_table(spark, sf_dir):
     train, test = _document_labels(spark, sf_dir)
-    texts = inputs.table(spark, sf_dir, "documents").select(clean_text(F.col("text")).alias("cleaned"))
+    texts = inputs.documents(spark, sf_dir).select(clean_text(F.col("text")).alias("cleaned"))
     return evaluate.summary_table(_evaluated(spark, sf_dir), train, test, texts, "cleaned", 64)
 
 
@@ -251,20 +251,20 @@ def category_labels(spark, sf_dir):
 
 @query
 def clean_documents(spark, sf_dir):
-    return inputs.table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+    return inputs.documents(spark, sf_dir).select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
 def clean_documents_whole(spark, sf_dir):
     """Without the limit on words."""
-    return inputs.table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text"), None).alias("cleaned"))
+    return inputs.documents(spark, sf_dir).select("doc_id", clean_text(F.col("text"), None).alias("cleaned"))
 
 
 @query
 def word_lists(spark, sf_dir):
     """Words per text before and after filtering, text length and preview."""
     text = F.col("text")
-    return inputs.table(spark, sf_dir, "documents").select(
+    return inputs.documents(spark, sf_dir).select(
         "doc_id",
         F.size(raw_words(text)).cast("long").alias("words"),
         F.size(clean_words(text, None)).cast("long").alias("meaningful"),
@@ -275,7 +275,7 @@ def word_lists(spark, sf_dir):
 
 @query
 def page_texts(spark, sf_dir):
-    return inputs.table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("url_content"))
+    return inputs.pages(spark, sf_dir).select("page_id", page_text(F.col("html")).alias("url_content"))
 
 
 # Catalogue
