@@ -9,7 +9,7 @@ from labelweave.functions.html import page_text
 from labelweave.functions.text import clean_text, enrich
 from labelweave.functions.vocab import MAX_WORDS
 from labelweave.plans.running import first_rows
-from labelweave.plans.skew import HOT_ROWS, skew_join
+from labelweave.plans.skew import skew_join
 from labelweave.plans.spread import spread
 
 
@@ -35,7 +35,7 @@ def add_page_text(
     *,
     max_items: int | None = None,
     item_id: str = "item_id",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Left-join the text columns of the pages by URL, '' where absent (H1-H3).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more rows than this is spread over several tasks.
@@ -30,6 +30,12 @@ def _salt_count(key: Column, hot: dict[object, int], hot_rows: int) -> Column:
     return salts
 
 
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether adaptive execution splits oversized join partitions of this session by itself."""
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(str(spark.conf.get(s, "true")).lower() == "true" for s in settings)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -37,21 +43,23 @@ def skew_join(
     how: str,
     *,
     spread_by: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     null_salts: int = 64,
 ) -> DataFrame:
-    """``left.join(right, key, how)`` for inner, left and semi joins, with the left rows of a hot key spread.
+    """``left.join(right, key, how)`` for inner, left and semi joins whose left side may have hot or missing keys.
 
-    Left rows of a hot key are dealt over its salts by the hash of ``spread_by`` and only the matching right rows are
-    repeated, so the result is the same. Rows without a key match nothing and are dealt evenly as well.
+    Adaptive execution splits the partition of a hot key, or of the missing keys, at run time from the sizes it sees,
+    without another pass. Where it is off, or ``hot_rows`` is given, hot keys are counted first: their left rows are
+    dealt over salts by the hash of ``spread_by``, only the matching right rows are repeated, and rows without a key
+    are dealt evenly. The result is the same.
     """
+    if hot_rows is None and splits_skew(left.sparkSession):
+        return left.join(right, key, how)
+    hot_rows = hot_rows or HOT_ROWS
     hot = hot_keys(left, key, hot_rows)
     spread = F.xxhash64(spread_by)
     salts = F.when(F.col(key).isNull(), null_salts).otherwise(_salt_count(F.col(key), hot, hot_rows))
     salted_left = left.withColumn("_salt", F.pmod(spread, salts.cast("long")).cast("int"))
-    salted_right = right.where(F.col(key).isNotNull()).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), _salt_count(F.col(key), hot, hot_rows) - 1))
-        if hot
-        else F.lit(0)
-    )
+    copies = F.explode(F.sequence(F.lit(0), _salt_count(F.col(key), hot, hot_rows) - 1)) if hot else F.lit(0)
+    salted_right = right.where(F.col(key).isNotNull()).withColumn("_salt", copies)
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")

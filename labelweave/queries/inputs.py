@@ -182,8 +182,11 @@ def catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_catalogue(catalogue_documents(spark, sf_dir), carry=("volume",))
 
 
-def catalogue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat items of all documents, numbered across them."""
+def catalogue_items(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Flat items of all documents, numbered across them unless only counts are wanted."""
     return flatten_items(
-        catalogues(spark, sf_dir), text_fields=MATCH_TEXT, with_hint=True, order_by="volume"
+        catalogues(spark, sf_dir),
+        text_fields=MATCH_TEXT,
+        with_hint=True,
+        order_by="volume" if numbered else None,
     )

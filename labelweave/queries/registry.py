@@ -341,7 +341,7 @@ def item_alignment(spark, sf_dir):
 
 @query
 def profile_items(spark, sf_dir):
-    return rounded(profile.item_profile(inputs.catalogue_items(spark, sf_dir)), "url_percent")
+    return rounded(profile.item_profile(inputs.catalogue_items(spark, sf_dir, numbered=False)), "url_percent")
 
 
 @query
@@ -351,22 +351,22 @@ def dictionary_size(spark, sf_dir):
 
 @query
 def type_frequency(spark, sf_dir):
-    return profile.frequency(inputs.catalogue_items(spark, sf_dir), "item_type")
+    return profile.frequency(inputs.catalogue_items(spark, sf_dir, numbered=False), "item_type")
 
 
 @query
 def book_frequency(spark, sf_dir):
-    return profile.frequency(inputs.catalogue_items(spark, sf_dir), "book_title")
+    return profile.frequency(inputs.catalogue_items(spark, sf_dir, numbered=False), "book_title")
 
 
 @query
 def top10_labels(spark, sf_dir):
-    return profile.frequency(inputs.catalogue_items(spark, sf_dir), "standard", 10)
+    return profile.frequency(inputs.catalogue_items(spark, sf_dir, numbered=False), "standard", 10)
 
 
 @query
 def labels_histogram(spark, sf_dir):
-    return profile.labels_histogram(inputs.catalogue_items(spark, sf_dir))
+    return profile.labels_histogram(inputs.catalogue_items(spark, sf_dir, numbered=False))
 
 
 @query
@@ -378,7 +378,7 @@ def labels_per_item_counts(spark, sf_dir):
 
 @query
 def missing_labels(spark, sf_dir):
-    return profile.item_profile(inputs.catalogue_items(spark, sf_dir)).select("without_label")
+    return profile.item_profile(inputs.catalogue_items(spark, sf_dir, numbered=False)).select("without_label")
 
 
 @query
