@@ -115,6 +115,10 @@ def classify(
         return _classify_by_join(
             items, columns, item_id=item_id, vector=vector, hint=hint, exact=exact, dims=dims, limits=limits
         )
+    if table.num_rows == 0:
+        return items.withColumns(
+            {"predicted_standard": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")}
+        )
     size = dimensions(table, dims)
     shared = items.sparkSession.sparkContext.broadcast(_LabelIndex.parts(table, size))
 
@@ -122,14 +126,8 @@ def classify(
     def predict(vectors: pa.Array, hints: pa.Array) -> pa.Array:
         index = _LabelIndex(*shared.value)
         rows = to_unit(to_matrix(vectors, size))
-        if len(index.ids):
-            best, score = _predict(index, rows, hints.to_pylist(), exact)
-            found = index.ids.take(pa.array(best))
-        else:
-            found, score = pa.nulls(len(rows), pa.string()), np.full(len(rows), np.nan)
-        return pa.StructArray.from_arrays(
-            [found, pa.array(score, from_pandas=True)], ["std_id", "similarity"]
-        )
+        best, score = _predict(index, rows, hints.to_pylist(), exact)
+        return pa.StructArray.from_arrays([index.ids.take(pa.array(best)), pa.array(score)], ["std_id", "similarity"])
 
     given = F.col(hint) if hint else F.lit(None).cast("string")
     # Marked so that a later filter on the prediction is not pushed below it, which would score every item twice.

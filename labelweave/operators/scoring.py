@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.operators.vectors import DIMS, to_matrix, to_unit
@@ -110,11 +110,11 @@ def top_references(
     table = collect_within(references, limits)
     if table is None:
         matched = cogroup_matches(
-            items.select(item_id, F.col(vector).alias("vector"), F.lit(0).alias("scope")),
-            references.withColumn("scope", F.lit(0)),
-            k, item_id=item_id, dims=dims, scale=scale, limits=limits, out=out,
+            items.select(item_id, F.col(vector).alias("vector")), references, k, item_id=item_id, dims=dims, scale=scale, limits=limits, out=out,
         )
         return items.join(matched, item_id, "left")
+    if table.num_rows == 0:
+        return items.withColumn(out, F.array().cast(MATCHES))
     table = _sorted(table)
     size = dimensions(table, dims)
     matrix = to_matrix(table["vector"], size)
@@ -132,14 +132,11 @@ def top_references(
     return items.withColumn(out, match.asNondeterministic()(vector))
 
 
-def _spread(df: DataFrame, sizes: DataFrame, by: str, own: str, other: str) -> DataFrame:
+def _spread(df: DataFrame, by: str, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
     """Give every row its own block number and one copy per block of the other side."""
-    joined = skew_join(df, sizes, "scope", "inner", spread_by=by)
-    return joined.withColumns(
-        {own: F.pmod(F.xxhash64(by), F.col(f"_n_{own}")).cast("int")}
-    ).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(f"_n_{other}") - 1).cast("int")))).drop(
-        f"_n_{own}", f"_n_{other}"
-    )
+    return df.withColumn(own, F.pmod(F.xxhash64(by), n_own).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), (n_other - 1).cast("int")))
+    ).drop("_parts", "_blocks")
 
 
 def cogroup_matches(
@@ -153,7 +150,7 @@ def cogroup_matches(
     limits: Limits = Limits(),
     out: str = "matches",
 ) -> DataFrame:
-    """``(item_id, matches)`` for references of any size, items compared within their ``scope`` only.
+    """``(item_id, matches)`` for references of any size, within their ``scope`` only if both sides have one.
 
     Rows are dealt to blocks by the hash of their id, so a scope that holds most of the items or references becomes
     many tasks of about ``block_rows`` rows a side. Each task hands back at most k matches per item.
@@ -162,12 +159,23 @@ def cogroup_matches(
         sample = references.select("vector").where(F.size("vector") > 0).limit(1).toArrow()
         dims = dimensions(sample, None)
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / limits.block_rows).alias(name))
-
-    sizes = blocks(items, "_n__part").join(blocks(references, "_n__block"), "scope")
-    left = _spread(items, sizes, item_id, "_part", "_block")
-    right = _spread(references, sizes, "ord", "_block", "_part")
+    if "scope" in references.columns:
+        keys = ["scope", "_part", "_block"]
+        rows = F.count(F.lit(1))
+        # One row per scope on either side; counts are combined before the shuffle.
+        sizes = items.groupBy("scope").agg(F.ceil(rows / limits.block_rows).alias("_parts")).join(
+            references.groupBy("scope").agg(F.ceil(rows / limits.block_rows).alias("_blocks")), "scope"
+        )
+        items = skew_join(items, sizes, "scope", "inner", spread_by=item_id)
+        references = skew_join(references, sizes, "scope", "inner", spread_by="ord")
+        parts, blocks = F.col("_parts"), F.col("_blocks")
+    else:
+        keys = ["_part", "_block"]
+        parts, blocks = (
+            F.lit(max(1, -(-df.count() // limits.block_rows))).cast("long") for df in (items, references)
+        )
+    left = _spread(items, item_id, "_part", parts, "_block", blocks)
+    right = _spread(references, "ord", "_block", blocks, "_part", parts)
     key_type = items.schema[item_id].dataType.simpleString()
 
     def match(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -180,7 +188,6 @@ def cogroup_matches(
         )
         return pa.table({item_id: mine[item_id], out: _as_matches(best, score, theirs)})
 
-    keys = ["scope", "_part", "_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         match, f"{item_id} {key_type}, {out} {MATCHES}"
     )
@@ -190,14 +197,15 @@ def cogroup_matches(
     )
     if k == 1:
         # One winner per block: a combining maximum, nothing is collected.
-        best = F.max(F.struct(F.col(out)[0]["similarity"], -F.col(out)[0]["ord"], F.col(out)[0]["id"]))
+        first = F.col(out)[0]
+        best = F.max(F.struct(first["similarity"].alias("similarity"), (-first["ord"]).alias("late"), first["id"].alias("id")))
         return found.groupBy(item_id).agg(best.alias("_best")).select(
             item_id,
             F.array(
                 F.struct(
-                    F.col("_best.col1").alias("similarity"),
-                    (-F.col("_best.col2")).alias("ord"),
-                    F.col("_best.col3").alias("id"),
+                    F.col("_best.similarity").alias("similarity"),
+                    (-F.col("_best.late")).alias("ord"),
+                    F.col("_best.id").alias("id"),
                 )
             ).alias(out),
         )
