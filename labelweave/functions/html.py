@@ -50,9 +50,8 @@ def _code_point(reference: Column) -> Column:
 
 def decode_references(text: Column, entities: Mapping[str, str] = ENTITIES) -> Column:
     """Replace character references once, so ``&amp;lt;`` becomes ``&lt;``; unknown names stay as written (H5)."""
-    table = F.map_from_arrays(
-        F.array(*map(F.lit, entities)), F.array(*map(F.lit, entities.values()))
-    )
+    # One literal, folded to a map once per query. No name or character holds a tab or a line end.
+    table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in entities.items())), F.lit("\n"), F.lit("\t"))
 
     def char(reference: Column) -> Column:
         named = F.try_element_at(table, F.translate(reference, "&;", ""))
@@ -71,9 +70,13 @@ def decode_references(text: Column, entities: Mapping[str, str] = ENTITIES) -> C
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
-def strip_markup(html: Column) -> Column:
-    """Drop scripts, styles, comments and tags; a tag leaves no separator behind (H4, H5)."""
-    return F.regexp_replace(html, MARKUP, "")
+#: Stands where markup was until references are read: a noncharacter, so no text holds it.
+_NODE_END = "\uffff"
+
+
+def text_nodes(html: Column) -> Column:
+    """Drop scripts, styles, comments and tags, leaving a mark between the texts they part (H4, H5)."""
+    return F.regexp_replace(html, MARKUP, _NODE_END)
 
 
 def squeeze_phrases(text: Column) -> Column:
@@ -83,5 +86,9 @@ def squeeze_phrases(text: Column) -> Column:
 
 
 def page_text(html: Column, entities: Mapping[str, str] = ENTITIES) -> Column:
-    """Readable text of a page, '' for null (H4-H7)."""
-    return F.coalesce(squeeze_phrases(decode_references(strip_markup(html), entities)), F.lit(""))
+    """Readable text of a page, '' for null (H4-H7).
+
+    References end with their text node, so they are read before the texts are joined without a separator.
+    """
+    joined = F.replace(decode_references(text_nodes(html), entities), F.lit(_NODE_END), F.lit(""))
+    return F.coalesce(squeeze_phrases(joined), F.lit(""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelweave.functions.html import page_text
 from labelweave.functions.text import clean_text, enrich
@@ -37,7 +38,7 @@ def add_page_text(
     item_id: str = "item_id",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Left-join the text columns of the pages by URL, '' where absent (H1-H3).
+    """Left-join the columns of the pages by URL, '' or an empty list where absent (H1-H3).
 
     ``max_items`` enriches only the first so many items with a URL, in item order. ``pages_text`` needs one row per
     URL, as ``extract_pages`` returns it.
@@ -48,10 +49,14 @@ def add_page_text(
         items = items.join(chosen.withColumn("_chosen", F.lit(True)), item_id, "left")
         url = F.when(F.col("_chosen"), url)
     keyed = items.withColumn("_url", F.nullif(url, F.lit("")))
-    texts = [c for c in pages_text.columns if c != "url"]
+    empty = {
+        f.name: F.lit("") if isinstance(f.dataType, T.StringType) else F.array().cast(f.dataType)
+        for f in pages_text.schema
+        if f.name != "url"
+    }
     pages_text = pages_text.withColumnRenamed("url", "_url")
     joined = skew_join(keyed, pages_text, "_url", "left", spread_by=item_id, hot_rows=hot_rows)
-    return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in texts}).drop("_url", "_chosen")
+    return joined.withColumns({c: F.coalesce(c, e) for c, e in empty.items()}).drop("_url", "_chosen")
 
 
 def enrich_items(items: DataFrame, max_words: int = MAX_WORDS, **vocabularies) -> DataFrame:

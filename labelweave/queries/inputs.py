@@ -11,6 +11,7 @@ from labelweave.functions.labels import category_of
 from labelweave.operators.classify import label_relation
 from labelweave.operators.flatten import MATCH_TEXT, flatten_items
 from labelweave.plans.spread import spread
+from labelweave.schemas import TABLES
 from labelweave.sources.catalogue import parse_catalogue
 
 #: Customers per catalogue document.
@@ -18,7 +19,7 @@ VOLUME = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +183,12 @@ def catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_catalogue(catalogue_documents(spark, sf_dir), carry=("volume",))
 
 
-def catalogue_items(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+def items_of(documents: DataFrame, numbered: bool = True) -> DataFrame:
     """Flat items of all documents, numbered across them unless only counts are wanted."""
     return flatten_items(
-        catalogues(spark, sf_dir),
-        text_fields=MATCH_TEXT,
-        with_hint=True,
-        order_by="volume" if numbered else None,
+        documents, text_fields=MATCH_TEXT, with_hint=True, order_by="volume" if numbered else None
     )
+
+
+def catalogue_items(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    return items_of(catalogues(spark, sf_dir), numbered)

@@ -117,7 +117,7 @@ KNN_PREDICTIONS = """classes AS (SELECT item_id, vector, string_split(standard,
     knn AS (SELECT item_id, true_standard, label AS predicted_standard, sim AS confidence FROM votes
         QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, sim DESC, label) = 1)"""
 
-PREDICTION_COLUMNS = "item_id, predicted_standard, true_standard, round(confidence, 6) AS confidence"
+PREDICTION_COLUMNS = "item_id, predicted_standard, true_standard, confidence"
 
 SCORES = "count(*) AS total, sum(CASE WHEN predicted_standard = true_standard THEN 1 ELSE 0 END)::BIGINT AS correct"
 
@@ -248,7 +248,7 @@ ALIGNMENT = f"""{PAGE_JOIN},
         coalesce(d.dot / (i.len * n.len), 0) AS sim
         FROM texts t CROSS JOIN label_texts l LEFT JOIN dots d ON d.item_id = t.item_id AND d.ord = l.ord
         LEFT JOIN item_norms i ON i.item_id = t.item_id LEFT JOIN label_norms n ON n.ord = l.ord''')}
-    SELECT item_id, predicted_standard, standard AS true_standard, round(confidence, 6) AS confidence
+    SELECT item_id, predicted_standard, standard AS true_standard, confidence
     FROM best JOIN texts USING (item_id)"""
 
 
@@ -274,10 +274,10 @@ def build() -> dict[str, str]:
         "text_label_match": f"""WITH {text_scores(
             "SELECT 0 AS grp, doc_id AS item_id, text AS t FROM documents",
             clean_words('t', None), clean_words('std_text', None))}
-            SELECT item_id, std_id AS predicted_standard, round(round(sim, 9), 6) AS confidence FROM pairs
+            SELECT item_id, std_id AS predicted_standard, round(sim, 9) AS confidence FROM pairs
             QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 9) DESC, ord) = 1""",
         "text_variant_predictions": f"""{VARIANTS}
-            SELECT grp AS approach, item_id, predicted_standard, round(confidence, 6) AS confidence FROM best""",
+            SELECT grp AS approach, item_id, predicted_standard, confidence FROM best""",
         "compare_text_variants": f"""{VARIANTS}, {CONTAINED},
             scores AS (SELECT grp AS approach, {SCORES} FROM best JOIN truth USING (item_id) GROUP BY grp)
             {compared('scores', 'metadata')}""",

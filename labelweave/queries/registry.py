@@ -15,7 +15,7 @@ from labelweave.operators.classify import classify, match_definitions, predictio
 from labelweave.operators.flatten import flatten_items, flatten_labels
 from labelweave.operators.pages import add_page_text, enrich_items, extract_pages
 from labelweave.operators.vectors import DIMS, encode, hash_buckets, term_counts
-from labelweave.plans.align import TEXT_OF, vector_of
+from labelweave.plans.align import TEXT_OF, align, vector_of
 from labelweave.queries import inputs
 from labelweave.queries.encoder import HashedCounts
 from labelweave.session import shared_dir
@@ -32,6 +32,7 @@ def query(build: Query) -> Query:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Shares and means at 6 decimals; confidences come rounded from the scoring already."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
@@ -49,27 +50,27 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def zero_shot_vectors(spark, sf_dir):
-    return rounded(_evaluated(spark, sf_dir), "confidence")
+    return _evaluated(spark, sf_dir)
 
 
 @query
 def zero_shot_prefix_bleed(spark, sf_dir):
     """A hint L1.1 admits L1.10 and L1.11 as well."""
     items = inputs.vector_items(spark, sf_dir, 24, 12)
-    return rounded(predictions(classify(inputs.with_hints(items), inputs.vector_labels(items))), "confidence")
+    return predictions(classify(inputs.with_hints(items), inputs.vector_labels(items)))
 
 
 @query
 def zero_shot_exact_hint(spark, sf_dir):
     items = inputs.vector_items(spark, sf_dir, 24, 12)
     matched = classify(inputs.with_hints(items), inputs.vector_labels(items), exact=True)
-    return rounded(predictions(matched), "confidence")
+    return predictions(matched)
 
 
 @query
 def definition_match(spark, sf_dir):
     items = inputs.vector_items(spark, sf_dir, 6, 3)
-    return rounded(predictions(match_definitions(items, inputs.vector_labels(items))), "confidence")
+    return predictions(match_definitions(items, inputs.vector_labels(items)))
 
 
 def _transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def _transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def knn_transfer(spark, sf_dir):
-    return rounded(_transferred(spark, sf_dir), "confidence")
+    return _transferred(spark, sf_dir)
 
 
 @query
@@ -116,7 +117,7 @@ def text_label_match(spark, sf_dir):
         "vector", hash_buckets(clean_words(F.col("std_text"), None))
     )
     matched = match_definitions(items, labels, dims=DIMS)
-    return rounded(matched.select("item_id", "predicted_standard", "confidence"), "confidence")
+    return matched.select("item_id", "predicted_standard", "confidence")
 
 
 def _text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ def _text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_variant_predictions(spark, sf_dir):
-    return rounded(_text_variants(spark, sf_dir), "confidence")
+    return _text_variants(spark, sf_dir)
 
 
 @query
@@ -323,17 +324,14 @@ def enriched_first_items(spark, sf_dir):
 @query
 def item_alignment(spark, sf_dir):
     """The whole way: nested documents, page text, cleaning, vectors, hinted classification, truth."""
-    items = _with_pages(spark, sf_dir).select(
-        "item_id", "standard", F.col("category_standard").alias("hint"),
-        vector_of(F.col("enhanced_text_cleaned")).alias("vector"),
-    )
+    documents = inputs.catalogues(spark, sf_dir)
     labels = (
-        label_dictionary(inputs.catalogues(spark, sf_dir), carry=("volume",))
+        label_dictionary(documents, carry=("volume",))
         .groupBy("std_id", "category", "std_text")
         .agg(F.min(F.col("volume") * 1000 + F.col("ord")).alias("ord"))
-        .withColumn("vector", vector_of(F.col("std_text")))
     )
-    return rounded(predictions(classify(items, labels, dims=DIMS)), "confidence")
+    pages = inputs.table(spark, sf_dir, "pages")
+    return align(inputs.items_of(documents), labels, pages)
 
 
 # Profile

@@ -30,3 +30,15 @@ LABELS = _struct(ord=L, std_id=S, definition=S, std_text=S, category=S)
 PREDICTIONS = _struct(item_id=L, predicted_standard=S, true_standard=S, confidence=D)
 SUBMISSION = _struct(item_id=L, predicted_standard=S)
 PAGES = _struct(page_id=L, url=S, html=S)
+
+#: Schemas of the tables the registered queries read.
+TABLES = {
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}

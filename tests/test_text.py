@@ -106,6 +106,7 @@ PAGES = {
     "a<script>never closed": "a",
     'a<a title="x > y">b</a><img alt=\'>\'>c': "abc",
     "AT&amp;T &copy &middot; &amp;lt; &unknown; &amp": "AT&T © · &lt; &unknown; &",
+    "<h1>cut&amp</h1>off &lt;p&gt; R&ampD": "cut&off <p> R&ampD",
     "&#65;&#x42;&#128;&#0;&#xD800;&#x110000;&#1234567890123;": "AB€����",
     "a   b    c": "a b c",
     "tab\tstays  here": "tab\tstays here",
