@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.operators.vectors import DIMS, to_matrix, to_unit
@@ -191,10 +191,6 @@ def cogroup_matches(
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         match, f"{item_id} {key_type}, {out} {MATCHES}"
     )
-    better_first = lambda a, b: (
-        F.when(a["similarity"] > b["similarity"], -1).when(a["similarity"] < b["similarity"], 1)
-        .when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
-    )
     if k == 1:
         # One winner per block: a combining maximum, nothing is collected.
         first = F.col(out)[0]
@@ -209,9 +205,15 @@ def cogroup_matches(
                 )
             ).alias(out),
         )
-    # k rows per block of references and item; the number of blocks is the number of references / block_rows.
-    merged = F.array_sort(F.flatten(F.collect_list(out)), better_first)
-    return found.groupBy(item_id).agg(F.slice(merged, 1, k).alias(out))
+    # Ranked, not collected: blocks are many when references are, and most rows are dropped before the shuffle.
+    order = Window.partitionBy(item_id).orderBy(F.desc("_match.similarity"), "_match.ord")
+    ranked = (
+        found.select(item_id, F.explode(out).alias("_match"))
+        .withColumn("_rank", F.row_number().over(order))
+        .where(F.col("_rank") <= k)
+    )
+    kept = F.sort_array(F.collect_list(F.struct("_rank", "_match")))
+    return ranked.groupBy(item_id).agg(F.transform(kept, lambda r: r["_match"]).alias(out))
 
 
 def _empty_matches() -> pa.Array:

@@ -41,7 +41,7 @@ def align(
     """Predictions ``item_id, predicted_standard, true_standard, confidence``.
 
     ``items`` is the match form of ``flatten_items`` with a hint. ``use_own_category=True`` falls back to the category
-    of an item's true label where its group has no hint, as the original evaluation did; it leaks the truth.
+    of an item's true label where its group has no hint; it leaks the truth.
     """
     page = PAGE_OF.get(approach)
     if pages is not None and page:

@@ -13,6 +13,7 @@ from labelweave.operators.flatten import MATCH_TEXT, flatten_items
 from labelweave.plans.spread import spread
 from labelweave.schemas import TABLES
 from labelweave.sources.catalogue import parse_catalogue
+from labelweave.sources.tables import read_pages
 
 #: Customers per catalogue document.
 VOLUME = 250
@@ -27,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def vector_items(spark: SparkSession, sf_dir: str, per_class: int, categories: int) -> DataFrame:

@@ -304,7 +304,7 @@ def label_relation(spark, sf_dir):
 
 
 def _with_pages(spark: SparkSession, sf_dir: str, max_items: int | None = None) -> DataFrame:
-    pages = extract_pages(inputs.table(spark, sf_dir, "pages"))
+    pages = extract_pages(inputs.pages(spark, sf_dir))
     return enrich_items(add_page_text(inputs.catalogue_items(spark, sf_dir), pages, max_items=max_items))
 
 
@@ -330,7 +330,7 @@ def item_alignment(spark, sf_dir):
         .groupBy("std_id", "category", "std_text")
         .agg(F.min(F.col("volume") * 1000 + F.col("ord")).alias("ord"))
     )
-    pages = inputs.table(spark, sf_dir, "pages")
+    pages = inputs.pages(spark, sf_dir)
     return align(inputs.items_of(documents), labels, pages)
 
 
