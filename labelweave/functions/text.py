@@ -27,7 +27,8 @@ WORD = r"[a-z0-9_\p{L}\p{N}-]"
 DIGIT = (
     r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
     r"\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}"
-    r"\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}]"
+    r"\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}"
+    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]"
 )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelweave.functions import labels as L
 from labelweave.functions.html import page_text
 from labelweave.functions.text import (
-    clean_text, enrich, join_non_empty, preview, raw_words, text_length,
+    DIGIT, SPACE, SPACE_CHARS, clean_text, enrich, join_non_empty, preview, raw_words, text_length,
 )
 from labelweave.functions.vocab import KEEP_WORDS, NOISE_WORDS
 from tests.conftest import plan_of
@@ -49,6 +49,21 @@ def test_cleaning_edges(spark):
     assert apply(spark, clean_text, EDGES) == [brute_clean(t) for t in EDGES]
 
 
+def characters(pattern):
+    """All characters a class matches; the class is written for the JVM."""
+    import regex
+
+    written = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U%08x" % int(m[1], 16), pattern)
+    return set(regex.findall(written, "".join(map(chr, range(0x110000)))))
+
+
+def test_classes_hold_the_characters_of_the_rule():
+    digits = {c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()}
+    assert characters(DIGIT.replace(r"\p{Nd}", "")) == digits
+    spaces = {c for c in map(chr, range(0x110000)) if c.isspace()}
+    assert spaces == set(SPACE_CHARS) == characters(SPACE)
+
+
 def test_known_outcomes(spark):
     assert apply(spark, clean_text, ["Add the sum; see 2024 8ee y-intercept snake_case at http://a.b"]) == ["add sum 2024"]
 
