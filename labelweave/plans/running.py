@@ -19,9 +19,10 @@ def running_offset(
     """
     frame = (Window.unboundedPreceding, -1)
     if levels == 0:
-        return df.select(order, F.coalesce(F.sum(amount).over(Window.orderBy(order).rowsBetween(*frame)), F.lit(0)).cast("long").alias(out))
+        before = F.sum(amount).over(Window.orderBy(order).rowsBetween(*frame))
+        return df.select(order, F.coalesce(before, F.lit(0)).cast("long").alias(out))
     block, start = f"_block_{levels}", f"_start_{levels}"
-    keyed = df.select(order, amount, F.floor(F.col(order) / fan_out).cast("long").alias(block))
+    keyed = df.select(order, amount, F.expr(f"`{order}` div {fan_out}L").alias(block))
     totals = keyed.groupBy(block).agg(F.sum(amount).alias(amount))
     starts = running_offset(totals, block, amount, start, fan_out, levels - 1)
     inside = Window.partitionBy(block).orderBy(order).rowsBetween(*frame)
