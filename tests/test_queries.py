@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from labelweave.queries import oracles, registry
 from tests.conftest import plan_of
 
 duckdb = pytest.importorskip("duckdb")
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, oracles.build()
 PYTHON_FREE = {
     "clean_documents", "clean_documents_whole", "word_lists", "page_texts", "category_labels", "flatten_catalogue",
     "flatten_profile_form", "label_flatten", "label_relation", "enriched_items", "label_overlap", "label_counts",
@@ -42,6 +43,7 @@ def table(columns, rows):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)
