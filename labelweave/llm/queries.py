@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import bpe_count, line_quality, nb_linear, phrase_index, url_reputation, warc
+from labelweave.llm import byte_cnn, bpe_count, line_quality, nb_linear, phrase_index, raking, url_reputation, warc
 from labelweave.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.identify(table(spark, sf_dir, "documents"))
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of documents: the label of the vector of the same number."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+
+
+@query
+def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mixture(table(spark, sf_dir, "documents"), topics(spark, sf_dir))
