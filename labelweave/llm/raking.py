@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ MARGINS = ("source", "lang", "topic")
 SWEEPS = 12
 #: Sweeps between two written tables; the plan between them stays short.
 STORED_EVERY = 2
+#: Cells that are fitted on the driver at most; more are fitted as a table, with the same result.
+LOCAL_CELLS = 50_000
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -42,10 +45,30 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEE
             )
             now = now.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         if sweep % STORED_EVERY == STORED_EVERY - 1 or sweep == sweeps - 1:
-            now = stored(now.coalesce(1) if sweep == 0 else now, "weights")
+            now = stored(now, "weights")
     return now
 
 
+def raked_here(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+    """As ``raked``, in numpy, for no more than ``LOCAL_CELLS`` cells."""
+    rows = cells.select(*MARGINS, "tokens").toPandas().sort_values(list(MARGINS)).reset_index(drop=True)
+    tokens = rows["tokens"].to_numpy(float)
+    weight = np.ones(len(rows))
+    margins = []
+    for margin, shares in targets.items():
+        share = {r[margin]: r["share"] for r in shares.collect()}
+        values, number = np.unique(rows[margin].to_numpy(object).astype(str), return_inverse=True)
+        margins.append((number, np.array([share.get(v, 0.0) for v in values]) * tokens.sum()))
+    for _ in range(sweeps):
+        for number, wanted in margins:
+            mass = np.bincount(number, weights=tokens * weight, minlength=len(wanted))
+            weight *= np.divide(wanted, mass, out=np.zeros_like(mass), where=mass > 0)[number]
+    return cells.sparkSession.createDataFrame(
+        [(*(str(v) for v in row), float(w)) for row, w in zip(rows[list(MARGINS)].itertuples(index=False), weight)],
+        ", ".join(f"{m} string" for m in MARGINS) + ", weight double",
+    )
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number from 0 to 1 that a document has in every run."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 8)
@@ -63,6 +86,7 @@ def mixture(
     power: float = 0.7,
     sweeps: int = SWEEPS,
     seed: str = "mix",
+    local_cells: int = LOCAL_CELLS,
 ) -> DataFrame:
     """Weight and decision of every document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled.
 
@@ -85,7 +109,8 @@ def mixture(
     counted = stored(counted, "tokens")
     cells = stored(counted.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     targets = {m: stored(tempered(cells, m, power), "shares") for m in MARGINS}
-    fitted = raked(cells, targets, sweeps)
+    few = cells.limit(local_cells + 1).count() <= local_cells
+    fitted = (raked_here if few else raked)(cells, targets, sweeps)
     weights = stored(fitted.select(*MARGINS, F.round("weight", 9).alias("weight")), "cell_weights")
     probability = F.round(F.least(F.lit(1.0), F.col("weight") * budget), 9)
     return counted.join(weights, list(MARGINS)).select(
