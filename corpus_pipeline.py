@@ -1,16 +1,53 @@
-"""From raw documents to a training mixture."""
+"""From raw documents to a training mixture: clean, drop toxic texts and near copies, decontaminate, mix."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from labelweave.llm import line_quality, nb_linear, order_join, phrase_index, raking
+from labelweave.llm.queries import topics
+from labelweave.llm.shared import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines leave the texts, rejected documents go."""
+    return line_quality.clean_documents(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text scores as toxic go."""
+    return nb_linear.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    return order_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return phrase_index.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample by calibrated probabilities stays."""
+    return raking.sampled(docs, topics(spark, sf_dir))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixture),
+]
+#: Trained and hashed stages have no SQL twin.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents`` one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Apply the stages to ``documents``, each to what the one before has written."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs

@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.components import components
+from labelweave.llm.counts import collected, pieces_of
 from labelweave.llm.shared import stored
 
 #: Percent of the union that the intersection holds at least, and words of a shingle.
 PERCENT, SHINGLE = 80, 5
-#: Cells of the table of token counts, and cells of one of its pieces.
-CELLS, PIECE = 1 << 20, 1 << 12
+#: Cells of the table of token counts.
+CELLS = 1 << 20
 #: Seeds of the token orders behind the first.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -74,10 +75,6 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _column(values, kind) -> pa.Array:
-    return pa.array(values, kind)
-
-
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -110,42 +107,24 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             schema=schema,
         )
-    pieces = total.reshape(-1, PIECE)
-    held = np.flatnonzero(pieces.any(axis=1))
-    nothing = pa.nulls(len(held))
+    pieces = pieces_of(total)
+    nothing = pa.nulls(pieces.num_rows)
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(np.ones(len(held), np.int32)), nothing.cast(pa.int64()), nothing.cast(pa.int32()),
-            nothing.cast(pa.int64()), nothing.cast(pa.int64()), pa.array(held.astype(np.int32)),
-            pa.array([pieces[i].tobytes() for i in held], pa.binary()),
+            pa.array(np.ones(pieces.num_rows, np.int32)), nothing.cast(pa.int64()), nothing.cast(pa.int32()),
+            nothing.cast(pa.int64()), nothing.cast(pa.int64()), *pieces.columns,
         ],
         schema=schema,
     )
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the counts of each piece in a task; memory is that of the whole table at most."""
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            cells = np.frombuffer(counts.as_py(), np.int32)
-            totals[piece] = totals[piece] + cells if piece in totals else cells.astype(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())],
-        schema=pa.schema([("piece", pa.int32()), ("counts", pa.binary())]),
-    )
-
-
 def levels(profile: DataFrame) -> np.ndarray:
     """How common tokens are, by cell of the count table: 0 for cells within chance of the mean load, else by log count.
 
     The table has ``CELLS`` cells whatever the corpus, so it may be collected and broadcast. Any level gives right
     results; it decides how rare the tokens of a prefix are.
     """
-    pieces = profile.filter("kind = 1").select("piece", "counts").repartition("piece")
-    total = np.zeros(CELLS, np.int64)
-    for row in pieces.mapInArrow(_summed, "piece int, counts binary").collect():
-        total[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] += np.frombuffer(row["counts"], np.int64)
+    total = collected(profile.filter("kind = 1"), CELLS)
     load = total.mean()
     usual = load + 6 * np.sqrt(load) + 4
     return np.where(total <= usual, 0, 1 + np.floor(4 * np.log2(np.maximum(total / usual, 1)))).astype(np.uint8)
@@ -182,7 +161,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        last, one = None, None
         good = []
         for x, y in zip(batch.column(2), batch.column(3)):
             first, second = x.as_buffer(), y.as_buffer()
