@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm.components import components
 from labelweave.llm.counts import collected, pieces_of
-from labelweave.llm.shared import stored
+from labelweave.llm.shared import discard, small, stored
 
 #: Percent of the union that the intersection holds at least, and words of a shingle.
 PERCENT, SHINGLE = 80, 5
@@ -28,7 +28,7 @@ CELLS = 1 << 20
 #: Seeds of the token orders behind the first.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_STEP = np.uint64(0x100000001B3)
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,9 +48,8 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words) - width + 1
     code = np.full(n, width, np.uint64)
     for i in range(width):
-        code = (code * _STEP) ^ mixed(hashed[i : i + n] + np.uint64(i))
-        code = mixed(code)
-    return np.unique(code)
+        code = code * _STEP + hashed[i : i + n]
+    return np.unique(mixed(code))
 
 
 def prefix_length(n: int) -> int:
@@ -154,32 +153,35 @@ def _prefixes(shared):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text, behind the columns before it."""
     for batch in batches:
-        tokens = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc", "tokens"])
+        tokens = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1)], pa.binary())
+        names = batch.schema.names[:-1] + ["tokens"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=names)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            first, second = x.as_buffer(), y.as_buffer()
-            good.append(similar(np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)))
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
+        sets = (
+            [np.frombuffer(v.as_buffer(), np.uint64) for v in pair] for pair in zip(batch.column(2), batch.column(3))
+        )
+        good = pa.array([similar(*pair) for pair in sets], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Sets are made of the documents in pairs only."""
+    """The pairs (a, b) whose sets are similar.
+
+    Only documents in pairs become sets, in the scan of the texts. The sets of ``a`` go to ``b`` with their pair, so each
+    set moves once for a pair; a document with many partners should be ``b``, where Spark splits it if it is hot.
+    """
     pairs = stored(pairs, "pairs")
-    ids = stored(
-        pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "ids"
-    )
-    sets = stored(texts.join(ids, "doc", "left_semi").mapInArrow(_sets, "doc bigint, tokens binary"), "sets")
+    firsts = texts.join(small(pairs.withColumnRenamed("a", "doc")), "doc").select(F.col("doc").alias("a"), "b", "text")
+    seconds = texts.join(small(stored(pairs.select(F.col("b").alias("doc")).distinct(), "ids")), "doc", "left_semi")
     with_sets = (
-        pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("a_tokens")), "a")
-        .join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("b_tokens")), "b")
-        .select("a", "b", "a_tokens", "b_tokens")
+        firsts.mapInArrow(_sets, "a bigint, b bigint, tokens binary")
+        .join(seconds.select(F.col("doc").alias("b"), "text").mapInArrow(_sets, "b bigint, tokens binary").withColumnRenamed("tokens", "others"), "b")
+        .select("a", "b", "tokens", "others")
     )
     return stored(with_sets.mapInArrow(_verify, "a bigint, b bigint"), "verified")
 
@@ -209,19 +211,21 @@ def linked(docs: DataFrame) -> DataFrame:
     )
     repeated = stored(worded.groupBy("doc").agg(F.count("*").alias("k")).filter("k > 1").select("doc"), "repeated")
     level = spark.sparkContext.broadcast(levels(profile))
-    alone = texts.filter("doc is not null").join(again.select("doc").join(repeated, "doc", "left_anti"), "doc", "left_anti")
+    gone = small(stored(again.select("doc").join(repeated, "doc", "left_anti"), "gone"))
+    alone = texts.filter("doc is not null").join(gone, "doc", "left_anti")
     prefixes = stored(alone.mapInArrow(_prefixes(level), "token bigint, doc bigint, n int"), "prefixes")
     tokens = prefixes.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).filter("pivot < last")
     held = stored(prefixes.join(stored(tokens.select("token", "pivot"), "tokens"), "token"), "held")
+    discard(prefixes)
 
     # Each document against the pivot that it shares the most prefix tokens with.
-    pivot_sizes = held.filter("doc = pivot").select("token", F.col("n").alias("pivot_n"))
+    pivot_sizes = worded.groupBy(F.col("doc").alias("pivot")).agg(F.max("n").alias("pivot_n"))
     counted = (
         held.filter("doc > pivot")
-        .join(pivot_sizes.distinct(), "token")
-        .filter(_near_in_size("n", "pivot_n"))
-        .groupBy("doc", "pivot")
+        .groupBy("doc", "pivot", "n")
         .count()
+        .join(pivot_sizes, "pivot")
+        .filter(_near_in_size("n", "pivot_n"))
     )
     best = counted.groupBy("doc").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("b"))
     tried = best.select(F.col("doc").alias("a"), "b")
