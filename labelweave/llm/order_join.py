@@ -152,12 +152,23 @@ def _prefixes(shared):
     return run
 
 
+#: Bytes of sets in a batch, unless one set is longer.
+SET_BYTES = 4 << 20
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each text, behind the columns before it."""
+    """The set of each text, behind the columns before it, in batches of bounded size."""
     for batch in batches:
-        tokens = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1)], pa.binary())
-        names = batch.schema.names[:-1] + ["tokens"]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=names)
+        *kept, texts = batch.columns
+        names = [*batch.schema.names[:-1], "tokens"]
+        held, size, start = [], 0, 0
+        for i, text in enumerate(texts):
+            held.append(shingles(text.as_py()).tobytes())
+            size += len(held[-1])
+            if size >= SET_BYTES or i == len(texts) - 1:
+                part = [c.slice(start, len(held)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(held, pa.binary())], names=names)
+                held, size, start = [], 0, i + 1
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
