@@ -2,7 +2,8 @@
 
 If two sets are similar enough, their prefixes share a token, whatever the order that all sets are sorted by. The first
 order puts common tokens last, so that a prefix holds the rarest tokens; it finds the candidates. Candidates must then
-share a prefix token under each of the other orders too, and only what passes all filters is verified. Sets that are equal
+share a prefix token under each of the other orders too, and only what passes all filters is verified. Parity marks spare
+the move of sets that differ by too many tokens. Sets that are equal
 are one set from the start, and documents that a verified link has brought together aren't compared again, so the pairs
 of a group of copies are never listed.
 """
@@ -78,21 +79,30 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-PROFILE = "kind int, doc bigint, n int, sig_a bigint, sig_b bigint, piece int, counts binary"
+#: Bits of a set's parity marks: a power of two, at least 64.
+BITS = 2048
+PROFILE = "kind int, doc bigint, n int, sig_a bigint, sig_b bigint, marks array<bigint>, piece int, counts binary"
+
+
+def parity_marks(tokens: np.ndarray) -> np.ndarray:
+    """Bits that say of how many tokens each is hit, odd or even. Two sets differ by as many tokens as bits at least."""
+    hits = np.bincount((tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(hits.astype(np.uint8)).view(np.int64)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document with size and fingerprint of its set; at the end of a task, its token counts in pieces."""
     schema = pa.schema(
         [("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("sig_a", pa.int64()), ("sig_b", pa.int64()),
-         ("piece", pa.int32()), ("counts", pa.binary())]
+         ("marks", pa.list_(pa.int64())), ("piece", pa.int32()), ("counts", pa.binary())]
     )
     total = np.zeros(CELLS, np.int32)
     for batch in batches:
-        size, sums = [], []
+        size, sums, marks = [], [], []
         for text in batch.column(1):
             tokens = shingles(text.as_py())
             size.append(len(tokens))
+            marks.append(parity_marks(tokens))
             sums.append((tokens.sum(dtype=np.uint64), mixed(tokens ^ np.uint64(ORDERS[0])).sum(dtype=np.uint64)))
             np.add.at(total, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
         sums = _signed(np.array(sums, np.uint64).reshape(-1, 2))
@@ -101,8 +111,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(size, pa.int32()),
-                pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), nothing.cast(pa.int32()),
-                nothing.cast(pa.binary()),
+                pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)),
+                    pa.array(np.concatenate(marks) if marks else np.empty(0, np.int64)),
+                ),
+                nothing.cast(pa.int32()), nothing.cast(pa.binary()),
             ],
             schema=schema,
         )
@@ -111,7 +125,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(np.ones(pieces.num_rows, np.int32)), nothing.cast(pa.int64()), nothing.cast(pa.int32()),
-            nothing.cast(pa.int64()), nothing.cast(pa.int64()), *pieces.columns,
+            nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.list_(pa.int64())), *pieces.columns,
         ],
         schema=schema,
     )
@@ -201,6 +215,18 @@ def _near_in_size(one: str, other: str):
     return (100 * F.col(one) >= PERCENT * F.col(other)) & (100 * F.col(other) >= PERCENT * F.col(one))
 
 
+def plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be similar by the marks of ``sizes`` (doc, n, marks): similar sets differ by so few tokens."""
+    own = lambda side: sizes.select(
+        F.col("doc").alias(side), F.col("n").alias(f"{side}_n"), F.col("marks").alias(f"{side}_marks")
+    )
+    odd = F.aggregate(
+        F.zip_with("a_marks", "b_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k
+    )
+    few = (100 + PERCENT) * odd <= (100 - PERCENT) * (F.col("a_n") + F.col("b_n"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").filter(few).select("a", "b").distinct()
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """Size of the shingle set and component of every document: doc_id, n_shingles, component_id, one row per row.
 
@@ -213,7 +239,7 @@ def linked(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     profile = stored(texts.mapInArrow(_profile, PROFILE), "profile")
-    sizes = profile.filter("kind = 0").select("doc", "n", "sig_a", "sig_b")
+    sizes = profile.filter("kind = 0").select("doc", "n", "sig_a", "sig_b", "marks")
     worded = sizes.filter("doc is not null and n > 0")
     firsts = stored(worded.groupBy("n", "sig_a", "sig_b").agg(F.min("doc").alias("first"), F.count("*").alias("k")), "sets")
     again = stored(
@@ -239,7 +265,7 @@ def linked(docs: DataFrame) -> DataFrame:
         .filter(_near_in_size("n", "pivot_n"))
     )
     best = counted.groupBy("doc").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("b"))
-    tried = best.select(F.col("doc").alias("a"), "b")
+    tried = stored(plausible(best.select(F.col("doc").alias("a"), "b"), worded), "tried")
     links = verified(tried, alone)
 
     # Then what shares a prefix token and isn't together yet.
@@ -264,7 +290,7 @@ def linked(docs: DataFrame) -> DataFrame:
         .select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b"))
         .distinct()
     )
-    more = verified(pairs.join(tried, ["a", "b"], "left_anti"), alone)
+    more = verified(plausible(pairs.join(tried, ["a", "b"], "left_anti"), worded), alone)
     copies = again.select(F.col("doc").alias("a"), F.col("first").alias("b"))
     whole = components(links.unionByName(more).unionByName(copies))
     return (
