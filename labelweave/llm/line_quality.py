@@ -45,7 +45,7 @@ def prose_end(line: Column) -> Column:
 def line_passes(line: Column, min_words: int = 3) -> Column:
     """Punctuation, navigation and boilerplate rules over one line that holds a word.
 
-    A line ends as prose does, or has ``min_words`` words at least; symbols and exclamation marks number no more than
+    A line ends as prose does, or has ``min_words`` words at least; symbols and exclamation marks, but one, number no more than
     three for ten words; it isn't made of navigation words between bars, arrows or bullets; and it holds no boilerplate
     phrase.
     """
@@ -57,7 +57,7 @@ def line_passes(line: Column, min_words: int = 3) -> Column:
     long_enough = line.rlike(r"[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d}" % (min_words - 1))
     marks = F.length(line) - F.length(F.translate(line, SYMBOLS + "!", ""))
     spaces = F.length(line) - F.length(F.translate(line, " ", ""))
-    quiet = 10 * marks <= 3 * (spaces + 1)
+    quiet = 10 * (marks - 1) <= 3 * (spaces + 1)
     return (F.length(line) > 0) & (prose_end(line) | long_enough) & quiet & ~navigation & ~boilerplate
 
 
