@@ -61,7 +61,7 @@ def raked_here(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int =
         margins.append((number, np.array([share.get(v, 0.0) for v in values]) * tokens.sum()))
     for _ in range(sweeps):
         for number, wanted in margins:
-            mass = np.bincount(number, weights=tokens * weight, minlength=len(wanted))
+            mass = np.bincount(number, weights=tokens * weight, minlength=len(wanted)).astype(float)
             weight *= np.divide(wanted, mass, out=np.zeros_like(mass), where=mass > 0)[number]
     return cells.sparkSession.createDataFrame(
         [(*(str(v) for v in row), float(w)) for row, w in zip(rows[list(MARGINS)].itertuples(index=False), weight)],
