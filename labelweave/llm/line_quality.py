@@ -75,8 +75,12 @@ def repeated_window_words(words: Column) -> Column:
 
     A window's number is its hash with its position in the low bits, so one sort of longs brings equal windows together.
     Windows whose hashes meet are compared by their words, so a hash that two windows share by chance counts nothing.
+    The list is bound once: each position looks into it, and would otherwise make it anew where a filter is pushed down.
     """
+    return let(words, _repeated_window_words)
 
+
+def _repeated_window_words(words: Column) -> Column:
     def window(p: Column) -> Column:
         return F.array(F.get(words, p), F.get(words, p + 1), F.get(words, p + 2))
 
@@ -195,9 +199,12 @@ def clean_documents(docs: DataFrame, min_kept: int = 50) -> DataFrame:
 
     Rules as in ``score_lines``. An ``n_chars`` column is optional.
     """
-    kept = judged(docs, min_kept).filter("q.kept")
-    fresh = {"text": F.col("q.clean_text"), "n_chars": F.length("q.clean_text")}
+    # Not a filter on the verdict, which would be pushed down and evaluate the rules once more: a generator of one row or
+    # none, in its outer form, because the inner one adds such a filter as well.
+    found = F.filter(F.array(F.struct("row", "q")), lambda r: r["q"]["kept"])
+    kept = judged(docs, min_kept).select(F.explode_outer(found).alias("found")).filter("found is not null")
+    fresh = {"text": F.col("found.q.clean_text"), "n_chars": F.length("found.q.clean_text")}
     types = dict(docs.dtypes)
     return kept.select(
-        *[(fresh[c].cast(types[c]) if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns]
+        *[(fresh[c].cast(types[c]) if c in fresh else F.col("found.row")[c]).alias(c) for c in docs.columns]
     )
