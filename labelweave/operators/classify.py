@@ -17,6 +17,7 @@ from labelweave.operators.scoring import (
     cogroup_matches,
     collect_within,
     dimensions,
+    row_keyed,
     top_references,
 )
 from labelweave.operators.vectors import to_matrix, to_unit, unit_vector
@@ -106,15 +107,18 @@ def classify(
 
     ``labels`` needs ``ord, std_id, category, vector``. A hint that equals some category restricts the candidates to
     the categories it is a prefix of (``exact=True``: to itself); otherwise the category with the highest mean cosine
-    is inferred. Ties go to the label, or category, that comes first by ``ord``. Within ``limits`` the label table is
+    is inferred. A label without category is in no scope. Ties go to the label, or category, that comes first by ``ord``. Within ``limits`` the label table is
     broadcast and no row is shuffled; a larger one is joined by category.
     """
-    columns = labels.select(F.col("ord").cast("long").alias("ord"), "std_id", "category", "vector")
+    columns = labels.where(F.col("category").isNotNull()).select(
+        F.col("ord").cast("long").alias("ord"), "std_id", "category", "vector"
+    )
     table = collect_within(columns, limits)
     if table is None:
         return _classify_by_join(
-            items, columns, item_id=item_id, vector=vector, hint=hint, exact=exact, dims=dims, limits=limits
-        )
+            row_keyed(items, "_item_row"), columns,
+            item_id="_item_row", vector=vector, hint=hint, exact=exact, dims=dims, limits=limits,
+        ).drop("_item_row")
     if table.num_rows == 0:
         return items.withColumns(
             {"predicted_standard": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")}

@@ -12,11 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.operators.vectors import DIMS, to_matrix, to_unit
 from labelweave.plans.skew import skew_join
+from labelweave.session import materialise
 
 #: Similarities are compared at this many decimals, so equal scores tie whatever the order of summation.
 DECIMALS = 9
@@ -41,14 +43,19 @@ def collect_within(df: DataFrame, limits: Limits) -> pa.Table | None:
 
 
 def dimensions(table: pa.Table, dims: int | None) -> int:
-    """Vector size: as given, else that of the first vector; bucket lists have DIMS."""
+    """Vector size: as given, else that of the first vector that isn't empty; bucket lists have DIMS."""
     vectors = table["vector"]
     if dims:
         return dims
     if pa.types.is_integer(vectors.type.value_type):
         return DIMS
-    sizes = [len(v) for v in vectors.slice(0, 1).to_pylist() if v is not None]
-    return sizes[0] if sizes else 0
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    return int(sizes[np.argmax(sizes > 0)]) if len(sizes) else 0
+
+
+def row_keyed(items: DataFrame, key: str) -> DataFrame:
+    """Items with a key of their own per row, since a caller's id may repeat or be null; written, so that keys stay."""
+    return materialise(items.withColumn(key, F.monotonically_increasing_id()))
 
 
 def best_columns(rows: np.ndarray, references: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +116,12 @@ def top_references(
     references = references.select(F.col("ord").cast("long").alias("ord"), F.col("id").cast("string").alias("id"), "vector")
     table = collect_within(references, limits)
     if table is None:
+        items = row_keyed(items, "_scored_row")
         matched = cogroup_matches(
-            items.select(item_id, F.col(vector).alias("vector")), references, k, item_id=item_id, dims=dims, scale=scale, limits=limits, out=out,
+            items.select("_scored_row", F.col(vector).alias("vector")), references, k,
+            item_id="_scored_row", dims=dims, scale=scale, limits=limits, out=out,
         )
-        return items.join(matched, item_id, "left")
+        return items.join(matched, "_scored_row", "left").drop("_scored_row")
     if table.num_rows == 0:
         return items.withColumn(out, F.array().cast(MATCHES))
     table = _sorted(table)

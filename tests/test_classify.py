@@ -187,3 +187,25 @@ def test_plans(spark):
     assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
     big = plan_of(classify(df, dictionary, limits=BLOCKS))
     assert "CartesianProduct" not in big and "NestedLoop" not in big
+
+
+def test_repeated_ids_and_odd_labels_on_both_sides_of_the_limit(spark):
+    """Rows of one id keep their own answers; an empty first vector or a missing category changes neither way."""
+    from labelweave.operators.classify import classify, match_definitions
+    from labelweave.operators.scoring import Limits
+
+    labels = spark.createDataFrame(
+        [(0, "A.1.a", "A.1", None), (1, "A.1.b", "A.1", [1.0, 0.0]), (2, "B.1.a", "B.1", [0.0, 1.0]), (3, "C", None, [1.0, 1.0])],
+        "ord bigint, std_id string, category string, vector array<double>",
+    )
+    items = spark.createDataFrame(
+        [(7, 1, [1.0, 0.1], ""), (7, 2, [0.1, 1.0], ""), (7, 3, [1.0, 0.2], "B.1"), (None, 4, [0.0, 2.0], None)],
+        "item_id bigint, variant int, vector array<double>, hint string",
+    )
+    for run, expected in (
+        (classify, {1: "A.1.b", 2: "B.1.a", 3: "B.1.a", 4: "B.1.a"}),
+        (match_definitions, {1: "A.1.b", 2: "B.1.a", 3: "A.1.b", 4: "B.1.a"}),
+    ):
+        for limits in (Limits(), Limits(broadcast_rows=0)):
+            got = {r.variant: r.predicted_standard for r in run(items, labels, limits=limits).collect()}
+            assert got == expected, (run.__name__, limits)
