@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from labelweave.functions.text import SPACE_CHARS
 
 # One pass in document order: comments, script and style with their content, declarations, tags. Attribute values in
-# quotes may hold ">". Each attribute step is atomic and their number is bounded, so neither backtracking nor the
-# stack can grow with a broken page; the last branch takes the tags beyond that bound.
+# quotes may hold ">". The loop over attributes is possessive: it runs without recursion and never backtracks, so a tag
+# may have any number of them; the last branch takes tags whose last quote isn't closed.
 MARKUP = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
     r"|<[!?][^>]*>"
-    r"|</?[a-z](?>[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=){0,500}>"
+    r"|</?[a-z](?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
     r"|</?[a-z][^>]*>"
 )
 REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"

@@ -147,8 +147,8 @@ def _sides(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
 
 
 def label_overlap(train: DataFrame, test: DataFrame, label: str = "standard") -> DataFrame:
-    """Labels that occur on both sides (F8)."""
-    return train.where(F.col(label).isNotNull()).select(label).intersect(test.select(label))
+    """Labels that occur on both sides (F8), from counts that combine before their shuffle."""
+    return _sides(train, test, label).where((F.col("in_train") == 1) & (F.col("in_test") == 1)).select(label)
 
 
 def tier_counts(predictions: DataFrame) -> DataFrame:

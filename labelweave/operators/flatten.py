@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from labelweave.functions.labels import category_of, primary_label
 from labelweave.functions.text import join_non_empty
 from labelweave.plans.running import running_offset
-from labelweave.schemas import BOOK, CLUSTER, GROUP
+from labelweave.schemas import BOOK, CLUSTER, DOCUMENT, GROUP
 
 #: Text parts of the profile form and of the match form, in joining order.
 PROFILE_TEXT = ("description", "text", "title")
@@ -97,10 +97,13 @@ def flatten_items(
     """One row per item of every catalogue.
 
     ``catalogues`` holds one nested document per row. Items are numbered from 0 within each document; with
-    ``order_by``, a unique integer column, documents are parts of one catalogue and the numbers run on across them.
+    ``order_by``, a unique integer column, documents are parts of one catalogue and the numbers run on across them. The
+    order column of ``read_catalogue`` is used unasked.
     ``text_fields`` selects what goes into ``combined_text``, ``with_hint`` adds the group's first label and
     ``include_labels`` the item's own labels. ``carry`` names document columns to keep.
     """
+    if order_by is None and DOCUMENT in catalogues.columns:
+        order_by = DOCUMENT
     if "titles" not in catalogues.columns:
         raise ValueError("catalogue without titles")
     checked = F.when(F.col("titles").isNull(), F.raise_error(F.lit("catalogue without titles"))).otherwise(F.col("titles"))

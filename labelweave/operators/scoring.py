@@ -36,9 +36,20 @@ class Limits:
 
 
 def collect_within(df: DataFrame, limits: Limits) -> pa.Table | None:
-    """All rows if they are within the limits, else None. At most ``broadcast_rows + 1`` rows ever reach the driver."""
-    table = df.limit(limits.broadcast_rows + 1).toArrow()
-    within = table.num_rows <= limits.broadcast_rows and table.nbytes <= limits.broadcast_bytes
+    """All rows if they are within the limits, else None.
+
+    At most ``broadcast_rows + 1`` rows reach the driver, and none behind the one whose vector passes
+    ``broadcast_bytes``; a vector counts as the longer of its list and its row of the broadcast matrix.
+    """
+    of_counts = df.schema["vector"].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
+    own = F.greatest(F.size("vector"), F.lit(DIMS if of_counts else 0)).cast("long") * 8
+    one_task = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.limit(limits.broadcast_rows + 1).withColumn("_bytes", own)
+    before = rows.withColumn("_before", F.coalesce(F.sum("_bytes").over(one_task), F.lit(0)))
+    table = before.filter(F.col("_before") <= limits.broadcast_bytes).toArrow()
+    size = pc.sum(table["_bytes"]).as_py() or 0
+    table = table.drop_columns(["_bytes", "_before"])
+    within = table.num_rows <= limits.broadcast_rows and max(size, table.nbytes) <= limits.broadcast_bytes
     return table if within else None
 
 

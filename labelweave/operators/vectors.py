@@ -1,9 +1,12 @@
 """Vectors of texts: hashed term counts, or any encoder with an ``encode(list)`` method."""
 
+import hashlib
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ def to_matrix(vectors, dims: int) -> np.ndarray:
     values = vectors.flatten().to_numpy(zero_copy_only=False)
     n = len(vectors)
     if pa.types.is_integer(vectors.type.value_type):
+        if len(values) and not (values.min() >= 0 and values.max() < dims):
+            raise ValueError(f"buckets must be from 0 to {dims - 1}")
         cells = np.repeat(np.arange(n), sizes) * dims + values
         return np.bincount(cells, minlength=n * dims).reshape(n, dims).astype(np.float64)
     filled = sizes > 0
@@ -83,16 +88,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
+def _encoder(digest: str, make_encoder: Callable[[], object]) -> object:
+    """The encoder that this process made last, if its factory has this digest, else a new one.
+
+    The package travels to workers by value, so its module state is new in every task; ``sys`` is the worker's own.
+    """
+    made = vars(sys).setdefault("_labelweave_encoder", {})
+    if digest not in made:
+        made.clear()
+        made[digest] = make_encoder()
+    return made[digest]
+
+
 def encode(text: Column, make_encoder: Callable[[], object], batch_size: int = 256) -> Column:
     """Vectors from an encoder.
 
-    ``make_encoder`` runs once per task on the executor and returns an object whose ``encode(list_of_texts)`` gives
-    one vector per text; texts arrive in Arrow batches and are handed on ``batch_size`` at a time.
+    ``make_encoder`` runs once per Python worker, whose later tasks use the same object, and returns an object whose
+    ``encode(list_of_texts)`` gives one vector per text; texts arrive in Arrow batches and are handed on ``batch_size``
+    at a time.
     """
+    digest = hashlib.sha256(cloudpickle.dumps(make_encoder)).hexdigest()
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = make_encoder()
+        encoder = _encoder(digest, make_encoder)
         for batch in batches:
             texts = [text or "" for text in batch.to_pylist()]
             parts = [

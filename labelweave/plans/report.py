@@ -10,7 +10,10 @@ from labelweave.operators.flatten import flatten_labels
 
 
 def report(training: DataFrame, testing: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
-    """Overlap, accuracy, per-label table, top labels and confusion of a submission."""
+    """Overlap, accuracy, per-label table, top labels and confusion of a submission.
+
+    Catalogues of several documents need the order column of ``read_catalogue``, by which items were numbered.
+    """
     train, test = flatten_labels(training), flatten_labels(testing)
     truth = test.select("item_id", F.col("standard").alias(evaluate.TRUTH))
     joined = evaluate.attach_truth(predictions.select("item_id", evaluate.PREDICTED), truth)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from labelweave.functions import text as T
-from labelweave.functions.html import MARKUP, PHRASE_END
 from labelweave.functions.labels import FAILED, GOOD, PERFECT
 from labelweave.functions.vocab import KEEP_WORDS, MAX_WORDS, NOISE_WORDS
 from labelweave.operators.vectors import DIMS
@@ -45,13 +44,20 @@ def clean_text(text: str, max_words: int | None = MAX_WORDS) -> str:
     return f"array_to_string({clean_words(text, max_words)}, ' ')"
 
 
+# Patterns of their own, not the engine's, so that a wrong one there doesn't agree with itself.
+_MARKUP = (
+    "(?is)<(?:!--.*?(?:-->|\\z)|script\\b[^>]*>.*?(?:</script\\s*>|\\z)|style\\b[^>]*>.*?(?:</style\\s*>|\\z)"
+    "|[!?][^>]*>|/?[a-z](?:=\\s*\"[^\"]*\"|=\\s*'[^']*'|[^>])*>)"
+)
+_PHRASE_END = "\\n|\\r|\\x{0B}|\\x{0C}|[\\x{1C}-\\x{1E}]|\\x{85}|\\x{2028}|\\x{2029}|[ ][ ]"
+
+
 def page_text(html: str) -> str:
-    pattern = MARKUP.replace("(?>", "(?:").replace("++", "+").replace("{0,500}", "*")
-    plain = f"regexp_replace({html}, {q(pattern)}, '', 'g')"
+    plain = f"regexp_replace({html}, {q(_MARKUP)}, '', 'g')"
     for name, char in {"copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "amp": "&"}.items():
         plain = f"regexp_replace({plain}, '&{name};?', {q(char)}, 'g')"
     spaces = " || ".join(f"chr({ord(c)})" for c in T.SPACE_CHARS)
-    phrases = f"list_transform(regexp_split_to_array({plain}, {q(PHRASE_END)}), lambda p: trim(p, {spaces}))"
+    phrases = f"list_transform(regexp_split_to_array({plain}, {q(_PHRASE_END)}), lambda p: trim(p, {spaces}))"
     return f"array_to_string(list_filter({phrases}, lambda p: p <> ''), ' ')"
 
 

@@ -42,3 +42,6 @@ TABLES = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
 }
+
+#: Order column that ``read_catalogue`` gives documents.
+DOCUMENT = "_document"

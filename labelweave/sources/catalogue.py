@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.operators.classify import label_relation
-from labelweave.schemas import CATALOGUE
+from labelweave.schemas import CATALOGUE, DOCUMENT
 
 
 def read_catalogue(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    """One row per nested JSON document (A1).
+    """One row per nested JSON document (A1), with the order column ``_document`` behind its own.
 
-    ``multiline=False`` reads JSON lines: a catalogue split into one document per line is read in parallel.
+    ``multiline=False`` reads JSON lines: a catalogue split into one document per line is read in parallel. Numbers
+    that run on across documents go by ``_document``, which is unique, and equal in every read of the same files by the
+    same session.
     """
     reader = spark.read.schema(CATALOGUE).option("mode", "FAILFAST").option("multiLine", multiline)
-    return reader.json(path)
+    return reader.json(path).withColumn(DOCUMENT, F.monotonically_increasing_id())
 
 
 def parse_catalogue(documents: DataFrame, column: str = "document", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from labelweave.plans.spread import spread
 from labelweave.schemas import ENRICHED_ITEMS, PAGES, SUBMISSION
+from labelweave.session import materialise
 
 _CSV = {"header": True, "escape": '"', "quote": '"'}
 
@@ -39,6 +40,8 @@ def write_labels(labels: DataFrame, path: str) -> None:
 def write_submission(predictions: DataFrame, path: str) -> None:
     """``item_id, predicted_standard`` as CSV in item order.
 
-    The order is made by a range shuffle, so files are written in parallel and sorted across their names.
+    The order is made by a range shuffle, so files are written in parallel and sorted across their names. The shuffle
+    samples its input first; both columns are written before, so that no item is scored twice.
     """
-    predictions.select("item_id", "predicted_standard").orderBy("item_id").write.options(**_CSV).csv(path)
+    narrow = materialise(predictions.select("item_id", "predicted_standard"))
+    narrow.orderBy("item_id").write.options(**_CSV).csv(path)

@@ -1,12 +1,13 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelweave.operators.classify import classify, match_definitions, predictions, transfer_labels
-from labelweave.operators.scoring import Limits, top_references
-from labelweave.operators.vectors import cosine, encode, hash_buckets
+from labelweave.operators.scoring import Limits, collect_within, top_references
+from labelweave.operators.vectors import cosine, encode, hash_buckets, to_matrix
 from labelweave.queries.encoder import HashedCounts
 from tests.conftest import plan_of
 
@@ -209,3 +210,16 @@ def test_repeated_ids_and_odd_labels_on_both_sides_of_the_limit(spark):
         for limits in (Limits(), Limits(broadcast_rows=0)):
             got = {r.variant: r.predicted_standard for r in run(items, labels, limits=limits).collect()}
             assert got == expected, (run.__name__, limits)
+
+
+def test_few_long_lists_take_the_block_path(spark):
+    refs = spark.range(6).select(F.col("id").alias("ord"), F.array_repeat(F.lit(1), 1000).alias("vector"))
+    assert collect_within(refs, Limits(broadcast_bytes=48_000)).num_rows == 6
+    assert collect_within(refs, Limits(broadcast_bytes=30_000)) is None
+    assert collect_within(refs, Limits(broadcast_rows=5)) is None
+    assert collect_within(refs.limit(0), Limits()).num_rows == 0
+
+
+def test_buckets_out_of_range_fail():
+    with pytest.raises(ValueError, match="from 0 to 3"):
+        to_matrix(pa.array([[0, 4]], pa.list_(pa.int32())), 4)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelweave.operators.flatten import MATCH_TEXT, flatten_items
+from labelweave.operators.vectors import encode
 from labelweave.plans.align import align
 from labelweave.plans.prepare import prepare
 from labelweave.plans.report import report
@@ -120,3 +121,48 @@ def test_stream_equals_batch(spark, files):
     got = tables.read_predictions(spark, str(files / "stream_out")).orderBy("item_id").collect()
     batch = predict(read_catalogue(spark, str(lines), multiline=False)).orderBy("item_id").collect()
     assert [tuple(r) for r in got] == [(r.item_id, r.predicted_standard) for r in batch]
+
+
+def test_numbers_run_on_across_documents(spark, files):
+    """Three JSON lines in two files are one catalogue: ids are unique, and a perfect submission counts every item."""
+    folder = files / "parts"
+    folder.mkdir()
+    one = catalogue({"title": "Cones", "standards": ["8.G.C.9"]}, {"title": "Triangles", "standards": ["8.G.B.7"]})
+    (folder / "a.json").write_text(json.dumps(one) + "\n" + json.dumps(one) + "\n")
+    (folder / "b.json").write_text(json.dumps(one) + "\n")
+    docs = read_catalogue(spark, str(folder), multiline=False)
+    items = flatten_items(docs)
+    assert sorted(r.item_id for r in items.collect()) == list(range(6))
+    perfect = items.select("item_id", F.col("standard").alias("predicted_standard"))
+    row = report(docs, docs, perfect)["accuracy"].first()
+    assert (row.total, row.correct, row.accuracy) == (6, 6, 1.0)
+
+
+def test_writing_encodes_once_with_one_encoder_per_worker(spark, tmp_path):
+    """A submission of n items makes n encodings, and no worker makes a second encoder."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def make():
+        import os
+        import uuid
+
+        import numpy as np
+
+        class Counting:
+            def __init__(self):
+                (log / f"made-{os.getpid()}-{uuid.uuid4()}").touch()
+
+            def encode(self, texts):
+                (log / f"texts-{uuid.uuid4()}").write_text(str(len(texts)))
+                return np.ones((len(texts), 2))
+
+        return Counting()
+
+    predicted = spark.range(200, numPartitions=8).select(
+        F.col("id").alias("item_id"), encode(F.col("id").cast("string"), make)[0].cast("string").alias("predicted_standard")
+    )
+    tables.write_submission(predicted, str(tmp_path / "out"))
+    assert sum(int(f.read_text()) for f in log.glob("texts-*")) == 200
+    workers = [f.name.split("-")[1] for f in log.glob("made-*")]
+    assert len(workers) == len(set(workers)) <= 8

@@ -142,6 +142,12 @@ def test_broken_pages_finish(spark):
     assert got[1] == "shown" and got[2] == "" and got[3] == "&" * 5000
 
 
+def test_tags_may_have_any_number_of_attributes(spark):
+    double, single = "".join(f' a{i}="x > {i}"' for i in range(5000)), "".join(f" b{i}='<y> {i}'" for i in range(5000))
+    pages = [f"<p{double}>shown</p>", f"<p{single}>shown</p>", f"<p{double}{single} c = 'z>' d>shown</p>", "<p a='open>shown</p>"]
+    assert apply(spark, page_text, pages) == ["shown"] * 4
+
+
 def test_no_python_in_text_plans(spark):
     df = spark.createDataFrame([("x",)], "t string")
     plan = plan_of(df.select(clean_text(F.col("t")), page_text(F.col("t"))))
