@@ -14,6 +14,7 @@ from labelweave.llm import (
     bpe_count, byte_cnn, class_lm, line_quality, nb_linear, order_join, phrase_index, raking, url_reputation, warc,
 )
 from labelweave.llm.components import components
+from labelweave.llm.shared import stored
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ENGLISH = "the cat sat on the mat and the dog ran to the park with a red ball that it had found."
@@ -378,3 +379,28 @@ def test_margins_are_met_either_way(spark):
     assert set(here[here.probability == 1].sampled) <= {True, False}
     assert {r.doc_id for r in raking.sampled(df, topics).collect()} == set(here[here.sampled].doc_id.astype(int))
     assert raking.mixture(df.limit(0), topics).count() == 0
+
+
+def test_expected_tokens_meet_margins_under_the_bound(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for i in range(1200):
+        source, lang = f"s{min(int(rng.geometric(0.6)), 4)}", f"l{min(int(rng.geometric(0.7)), 3)}"
+        data.append((i, " ".join(["w"] * int(rng.integers(1, 40))), source, lang))
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string, lang string")
+    mixed = stored(raking.mixture(df), "mixed")
+    cells = mixed.select(*raking.MARGINS, "weight").distinct()
+    assert cells.filter("weight * 0.5 > 1").count() > 0  # the bound binds
+    sums = raking.reached(mixed).toPandas()
+    assert mixed.filter("probability > 1").isEmpty()
+    assert (sums.aim <= sums.tokens).all() and np.allclose(sums.expected, sums.aim, rtol=1e-3)
+    table_fit = stored(raking.mixture(df, local_cells=0), "mixed").toPandas().sort_values("doc_id")
+    assert np.allclose(table_fit.probability, mixed.toPandas().sort_values("doc_id").probability, atol=1e-8)
+
+
+def test_what_a_rare_value_lacks_goes_to_the_others(spark):
+    data = [(i, " ".join(["w"] * 20), "rare" if i < 2 else f"s{i % 2}", "l") for i in range(2000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string, lang string")
+    sums = raking.reached(raking.mixture(df)).filter("margin = 'source'").toPandas().set_index("value")
+    assert sums.aim["rare"] > sums.tokens["rare"] == sums.expected["rare"]
+    assert np.isclose(sums.expected.sum(), 0.5 * sums.tokens.sum(), rtol=1e-6)
