@@ -17,8 +17,10 @@ ORDERS = (4, 5, 6)
 #: Labelled documents of each class that a model is fitted on at most.
 SAMPLE = 3000
 SMOOTHING = 1.0
-#: Documents of the sample that hold a feature at least, and its ratio's least distance from zero in standard errors.
-MIN_DOCS, MIN_ERRORS = 5, 4.0
+#: Documents of the sample that hold a feature at least.
+MIN_DOCS = 5
+#: Entries of the feature matrix that a training step works on at a time.
+ENTRIES = 1 << 20
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -41,7 +43,7 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass
 class NaiveBayesLinear:
-    """Weights over presence features, each already times its log-count ratio; most are zero."""
+    """Weights over presence features, each already times its log-count ratio."""
 
     weights: np.ndarray
     bias: float
@@ -56,9 +58,8 @@ class NaiveBayesLinear:
 
 
 def log_count_ratio(toxic, clean, n_toxic: int, n_clean: int):
-    """Ratio of the shares of toxic and clean documents that hold a feature, and its standard error."""
-    ratio = np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
-    return ratio, np.sqrt(1 / (toxic + SMOOTHING) + 1 / (clean + SMOOTHING))
+    """Log ratio of the shares of toxic and clean documents that hold a feature."""
+    return np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, epochs: int = 300, l2: float = 1e-3) -> tuple:
@@ -66,12 +67,26 @@ def fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, epochs: int =
 
     Accelerated full-batch gradient steps, sized by the largest curvature; both classes weigh the same.
     """
-    column = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = scale[column]
+    n_docs, sizes = len(rows), np.array([len(r) for r in rows])
+    columns = np.concatenate(rows).astype(np.int32, copy=False)
+    docs = np.repeat(np.arange(n_docs, dtype=np.uint16 if n_docs < 1 << 16 else np.int32), sizes)
+    docs = docs[np.argsort(columns, kind="stable")]
+    per_column = np.bincount(columns, minlength=len(scale))
+
+    def sums(values: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums of ``values[of]`` over runs of ``sizes``; a part of the runs at a time."""
+        out, ends = np.zeros(len(sizes)), np.cumsum(sizes)
+        cuts = [*np.flatnonzero(np.diff(ends // ENTRIES, prepend=-1)), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            full = np.flatnonzero(sizes[a:b]) + a
+            if len(full):
+                first = ends[a] - sizes[a]
+                out[full] = np.add.reduceat(values[of[first : ends[b - 1]]], ends[full] - sizes[full] - first)
+        return out
+
+    forth = lambda w: sums(scale * w, columns, sizes)
+    back = lambda e: sums(e, docs, per_column) * scale
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    forth = lambda w: np.bincount(doc, weights=value * w[column], minlength=len(rows))
-    back = lambda e: np.bincount(column, weights=value * e[doc], minlength=len(scale))
     curve, probe = 1.0, np.ones(len(scale))
     for _ in range(10):
         image = back(balance * forth(probe))
@@ -111,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     """Fit on labelled documents whose crc32 of the id isn't ``held`` modulo ``folds``.
 
     At most ``sample`` documents of each class, those of the smallest hashes of their ids, so training costs the same at
-    any size of corpus. Features are n-grams in ``MIN_DOCS`` documents or more whose log-count ratio is ``MIN_ERRORS``
-    standard errors from zero. Rows with a null id, text or label teach nothing. With one class only, or no feature, the
+    any size of corpus. Features are all n-grams in ``MIN_DOCS`` documents or more; how far to trust one is left to its
+    log-count ratio and the penalty. Rows with a null id, text or label teach nothing. With one class only, or no feature, the
     model is constant.
     """
     known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -134,16 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
         .filter(F.col("clean") + F.col("toxic") >= MIN_DOCS)
         .toPandas()  # no more rows than the feature space has
     )
-    ratio, error = log_count_ratio(counted["toxic"].to_numpy(), counted["clean"].to_numpy(), n_toxic, n_clean)
-    told = np.abs(ratio) >= MIN_ERRORS * error
-    selected, order = counted["code"].to_numpy()[told], np.argsort(counted["code"].to_numpy()[told])
-    selected, scale = selected[order], ratio[told][order]
+    counted = counted.sort_values("code")
+    selected = counted["code"].to_numpy()
+    scale = log_count_ratio(counted["toxic"].to_numpy(), counted["clean"].to_numpy(), n_toxic, n_clean)
     if not len(selected):
         return NaiveBayesLinear(weights, float(np.log(n_toxic / n_clean)))
     rows = texts.mapInPandas(_features(selected), "toxic int, codes binary").collect()
     rows.sort(key=lambda r: (r["toxic"], bytes(r["codes"])))
-    numbers = [np.searchsorted(selected, np.frombuffer(r["codes"], np.int32)) for r in rows]
-    learned, bias = fit(numbers, np.array([r["toxic"] for r in rows], np.float64), scale)
+    toxic = np.array([r["toxic"] for r in rows], np.float64)
+    numbers = [np.searchsorted(selected, np.frombuffer(r["codes"], np.int32)).astype(np.int32) for r in rows]
+    del rows
+    learned, bias = fit(numbers, toxic, scale)
     weights[selected] = learned * scale
     return NaiveBayesLinear(weights, float(bias))
 

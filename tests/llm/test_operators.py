@@ -404,3 +404,22 @@ def test_what_a_rare_value_lacks_goes_to_the_others(spark):
     sums = raking.reached(raking.mixture(df)).filter("margin = 'source'").toPandas().set_index("value")
     assert sums.aim["rare"] > sums.tokens["rare"] == sums.expected["rare"]
     assert np.isclose(sums.expected.sum(), 0.5 * sums.tokens.sum(), rtol=1e-6)
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """Words of a few toxic documents each, fewer than stand out by four standard errors."""
+    rng = np.random.default_rng(6)
+    plain, insults = [f"word{i}" for i in range(200)], ["nastyone", "awfulest", "rottenly", "vilemost", "horridly", "grimmish"]
+    data, labels = [], []
+    for i in range(400):
+        text = list(rng.choice(plain, 40))
+        if i % 5 == 0:
+            text[5] = text[20] = insults[i // 5 % len(insults)]
+        data.append((i, " ".join(text)))
+        labels.append((i, int(i % 5 == 0)))
+    found = nb_linear.score_toxicity(
+        spark.createDataFrame(data, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    ).filter("held_out").collect()
+    toxic = [r.predicted for r in found if r.doc_id % 5 == 0]
+    assert len(toxic) > 10 and np.mean(toxic) > 0.8
+    assert not any(r.predicted for r in found if r.doc_id % 5)
