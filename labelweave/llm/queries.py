@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import bpe_count, byte_cnn, class_lm, line_quality, nb_linear, order_join, phrase_index, raking, url_reputation, warc
+from labelweave.llm import (
+    bpe_count, byte_cnn, class_lm, conversation_repair, line_quality, nb_linear, order_join, phrase_index, raking,
+    url_reputation, warc,
+)
 from labelweave.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +98,8 @@ def op9_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
