@@ -241,6 +241,29 @@ SELECT doc_id, source, lang, topic, n_tokens, weight, round(least(1.0, weight *
 FROM weighed
 """
 
+OP13 = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT rid, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs
+), keyed AS (
+  SELECT rid, pos, line,
+    translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), frequent AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10
+), judged AS (
+  SELECT rid, pos, line, key IN (SELECT key FROM frequent) AS gone FROM keyed
+)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines,
+  CAST((SELECT count(*) FROM judged j WHERE j.rid = docs.rid AND gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce((SELECT string_agg(line, chr(10) ORDER BY pos) FROM judged j WHERE j.rid = docs.rid AND NOT gone), ''))
+    AS kept_sha256
+FROM docs
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": OP1,
     "op2_line_quality": _op2(),
@@ -248,4 +271,5 @@ ORACLES: dict[str, str] = {
     "op8_contamination": OP8,
     "op9_order_join": OP9,
     "op10_raked_mixture": OP10,
+    "op13_line_dedup": OP13,
 }

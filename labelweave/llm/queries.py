@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.llm import (
-    bpe_count, byte_cnn, class_lm, conversation_repair, line_quality, nb_linear, order_join, phrase_index, raking,
-    url_reputation, warc,
+    bpe_count, byte_cnn, class_lm, conversation_repair, line_dedup, line_quality, nb_linear, order_join, phrase_index,
+    raking, token_alignment, url_reputation, warc,
 )
 from labelweave.llm.shared import table
 
@@ -103,3 +103,16 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path(TOKENIZER), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), a, b)
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
