@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelweave.functions.html import page_text
+from labelweave.operators import bloom
+from labelweave.session import materialise
 from labelweave.functions.text import clean_text, enrich
 from labelweave.functions.vocab import MAX_WORDS
 from labelweave.plans.running import first_rows
@@ -28,6 +30,23 @@ def extract_pages(pages: DataFrame, max_words: int = MAX_WORDS, **vocabularies)
     )
 
 
+def extract_wanted_pages(
+    pages: DataFrame, wanted: DataFrame, max_words: int = MAX_WORDS, *, rate: float = bloom.FALSE_POSITIVES, **vocabularies
+) -> DataFrame:
+    """``extract_pages`` of only the URLs that ``wanted`` names in its ``url`` column (not null, not empty).
+
+    A Bloom filter of the wanted URLs, built in pieces by tasks and sized from their count, is probed in the scan of
+    ``pages`` before any markup is read: a page whose URL no item names is neither parsed nor shuffled. The exact
+    semi-join after it removes the false positives, so the rows equal those of ``extract_pages`` for the wanted URLs.
+    Past ``bloom.MAX_FILTER_BYTES`` there is no filter and the semi-join alone decides. The wanted URLs are computed
+    once and checkpointed, as the count, the filter and the join all read them.
+    """
+    urls = materialise(wanted.select("url").where(F.col("url").isNotNull() & (F.col("url") != "")).distinct())
+    filter_ = bloom.build(urls, "url", rate)
+    candidates = bloom.probe(pages.select("url", "page_id", "html"), "url", filter_)
+    return extract_pages(candidates, max_words, **vocabularies).join(urls, "url", "left_semi")
+
+
 def add_page_text(
     items: DataFrame,
     pages_text: DataFrame,

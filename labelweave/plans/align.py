@@ -11,7 +11,7 @@ from labelweave.functions.labels import effective_hint
 from labelweave.functions.text import raw_words
 from labelweave.functions.vocab import MAX_WORDS
 from labelweave.operators.classify import classify, match_definitions, predictions
-from labelweave.operators.pages import add_page_text, enrich_items, extract_pages
+from labelweave.operators.pages import add_page_text, enrich_items, extract_wanted_pages
 from labelweave.operators.scoring import Limits
 from labelweave.operators.vectors import DIMS, encode, hash_buckets
 
@@ -45,7 +45,7 @@ def align(
     """
     page = PAGE_OF.get(approach)
     if pages is not None and page:
-        texts = extract_pages(pages)
+        texts = extract_wanted_pages(pages, items)
         if not make_encoder:
             # Words never cross the blank between metadata and page, so a page is hashed once, not once per item, and
             # its buckets are joined in place of its text.

@@ -355,6 +355,8 @@ def build() -> dict[str, str]:
         "enriched_first_items": f"""{PAGE_JOIN}, chosen AS (SELECT item_id FROM flat WHERE url <> '' ORDER BY item_id LIMIT 100)
             SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM chosen) THEN url_content ELSE '' END AS url_content
             FROM enriched""",
+        "wanted_page_texts": f"""{PAGE_JOIN} SELECT url, url_content, {clean_text('url_content')} AS cleaned_url_content
+            FROM read_pages WHERE url IN (SELECT url FROM flat WHERE url <> '')""",
         "item_alignment": ALIGNMENT,
         "profile_items": f"""{CATALOGUE} SELECT count(*) AS items, count_if(url <> '')::BIGINT AS with_url,
             round(100.0 * count_if(url <> '') / count(*), 6) AS url_percent,

@@ -13,7 +13,7 @@ from labelweave.functions.text import clean_text, clean_words, preview, raw_word
 from labelweave.operators import evaluate, profile
 from labelweave.operators.classify import classify, match_definitions, predictions, transfer_labels
 from labelweave.operators.flatten import flatten_items, flatten_labels
-from labelweave.operators.pages import add_page_text, enrich_items, extract_pages
+from labelweave.operators.pages import add_page_text, enrich_items, extract_pages, extract_wanted_pages
 from labelweave.operators.vectors import DIMS, encode, hash_buckets, term_counts
 from labelweave.plans.align import TEXT_OF, align, vector_of
 from labelweave.queries import inputs
@@ -279,6 +279,13 @@ def page_texts(spark, sf_dir):
     return inputs.pages(spark, sf_dir).select("page_id", page_text(F.col("html")).alias("url_content"))
 
 
+@query
+def wanted_page_texts(spark, sf_dir):
+    """Text of the pages that items name, one row per URL; other pages are not parsed."""
+    items = inputs.catalogue_items(spark, sf_dir)
+    return extract_wanted_pages(inputs.pages(spark, sf_dir), items).select("url", "url_content", "cleaned_url_content")
+
+
 # Catalogue
 
 
@@ -304,8 +311,9 @@ def label_relation(spark, sf_dir):
 
 
 def _with_pages(spark: SparkSession, sf_dir: str, max_items: int | None = None) -> DataFrame:
-    pages = extract_pages(inputs.pages(spark, sf_dir))
-    return enrich_items(add_page_text(inputs.catalogue_items(spark, sf_dir), pages, max_items=max_items))
+    items = inputs.catalogue_items(spark, sf_dir)
+    pages = extract_wanted_pages(inputs.pages(spark, sf_dir), items)
+    return enrich_items(add_page_text(items, pages, max_items=max_items))
 
 
 @query

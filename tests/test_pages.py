@@ -73,3 +73,29 @@ def test_adaptive_execution_splits_a_hot_url(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_wanted_pages_equal_all_pages_for_those_urls(spark):
+    from labelweave.operators.pages import extract_wanted_pages
+
+    pages = spark.createDataFrame(PAGES + [(5, None, "<p>no url</p>"), (6, "", "<p>empty</p>")], "page_id long, url string, html string")
+    items = spark.createDataFrame(ITEMS, "item_id long, url string, combined_text string")
+    want = sorted(extract_pages(pages).where("url IN ('u1', 'u2', 'u3')").collect())
+    assert sorted(extract_wanted_pages(pages, items).collect()) == want
+    # A filter that lets half of all keys through changes nothing: the semi-join is exact.
+    assert sorted(extract_wanted_pages(pages, items, rate=0.5).collect()) == want
+    assert extract_wanted_pages(pages, items.limit(0)).count() == 0
+
+
+def test_unreferenced_pages_are_not_parsed(spark):
+    from labelweave.operators import bloom
+
+    pages = spark.range(20_000).selectExpr("id AS page_id", "concat('https://x.org/', id) AS url", "'<p>x</p>' AS html")
+    wanted = spark.range(0, 20_000, 200).selectExpr("concat('https://x.org/', id) AS url")
+    filter_ = bloom.build(wanted, "url")
+    assert filter_.n_bits >= 100 * 9 and filter_.n_hashes == 7
+    passed = bloom.probe(pages, "url", filter_)
+    # All 100 wanted URLs pass, and of the 19,900 others about 1 %: the rest never reach the markup.
+    assert set(r.url for r in wanted.collect()) <= set(r.url for r in passed.collect())
+    assert passed.count() < 100 + 0.03 * 19_900
+    assert bloom.probe(pages, "url", None).count() == 20_000
