@@ -239,15 +239,20 @@ def transfer_labels(
     vector: str = "vector",
     dims: int | None = None,
     limits: Limits = Limits(),
+    indexed: bool = False,
 ) -> DataFrame:
     """Majority label of the ``k`` most similar training items.
 
     ``training`` needs ``ord, id, vector`` with the label as ``id``. Ties in votes go to the higher best similarity,
-    then to the smaller label. The vote is taken inside the row.
+    then to the smaller label. The vote is taken inside the row. ``indexed=True`` finds the neighbours by the metric
+    index (``operators.metric_index``), with the same result, for training sets beyond the broadcast bound.
     """
-    matched = top_references(
-        items, training, k, item_id=item_id, vector=vector, dims=dims, limits=limits
-    )
+    if indexed:
+        from labelweave.operators.metric_index import indexed_matches
+
+        matched = indexed_matches(items, training, k, item_id=item_id, vector=vector, dims=dims)
+    else:
+        matched = top_references(items, training, k, item_id=item_id, vector=vector, dims=dims, limits=limits)
     votes = F.transform(
         F.array_distinct(F.transform("matches", lambda m: m["id"])),
         lambda label: F.struct(

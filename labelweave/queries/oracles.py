@@ -269,6 +269,7 @@ def build() -> dict[str, str]:
         "definition_match": f"""WITH {vector_tables(6, 3)}, {DEFINITION_PREDICTIONS}
             SELECT {PREDICTION_COLUMNS} FROM definition""",
         "knn_transfer": f"""WITH {vector_tables(6, 3)}, {KNN_PREDICTIONS} SELECT {PREDICTION_COLUMNS} FROM knn""",
+        "knn_transfer_indexed": f"""WITH {vector_tables(6, 3)}, {KNN_PREDICTIONS} SELECT {PREDICTION_COLUMNS} FROM knn""",
         "compare_approaches": f"""{zero_shot}, {DEFINITION_PREDICTIONS}, {KNN_PREDICTIONS},
             tagged AS (SELECT 'k-NN' AS approach, true_standard, predicted_standard FROM knn
                 UNION ALL SELECT 'definition', true_standard, predicted_standard FROM definition

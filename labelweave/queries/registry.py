@@ -73,14 +73,14 @@ def definition_match(spark, sf_dir):
     return predictions(match_definitions(items, inputs.vector_labels(items)))
 
 
-def _transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _transferred(spark: SparkSession, sf_dir: str, indexed: bool = False) -> DataFrame:
     """Items without a row in ``labels`` get the class of the most similar items that have one."""
     items = inputs.vector_items(spark, sf_dir, 6, 3).withColumn("standard", F.substring_index("standard", ".", 1))
     marked = inputs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"))
     training = items.join(marked, "item_id", "left_semi").select(
         F.col("item_id").alias("ord"), F.col("standard").alias("id"), "vector"
     )
-    return predictions(transfer_labels(items.join(marked, "item_id", "left_anti"), training, 5))
+    return predictions(transfer_labels(items.join(marked, "item_id", "left_anti"), training, 5, indexed=indexed))
 
 
 @query
@@ -88,6 +88,12 @@ def knn_transfer(spark, sf_dir):
     return _transferred(spark, sf_dir)
 
 
+@query
+def knn_transfer_indexed(spark, sf_dir):
+    """As ``knn_transfer``, neighbours found by the metric index instead of one broadcast."""
+    return _transferred(spark, sf_dir, indexed=True)
+
+
 @query
 def compare_approaches(spark, sf_dir):
     items = inputs.vector_items(spark, sf_dir, 6, 3)
