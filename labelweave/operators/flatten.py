@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from labelweave.functions.labels import category_of, primary_label
 from labelweave.functions.text import join_non_empty
-from labelweave.plans.running import running_offset
+from labelweave.plans.running import ordered_offsets
 from labelweave.schemas import BOOK, CLUSTER, DOCUMENT, GROUP
 
 #: Text parts of the profile form and of the match form, in joining order.
@@ -110,7 +110,7 @@ def flatten_items(
     first_id = F.lit(0).cast("long")
     if order_by:
         sizes = catalogues.select(order_by, _count_of(F.col("titles")).alias("_n"))
-        catalogues = catalogues.join(running_offset(sizes, order_by, "_n", "_first"), order_by)
+        catalogues = catalogues.join(ordered_offsets(sizes, order_by, "_n", "_first"), order_by)
         first_id = F.col("_first")
     # The outer form, because the inner one evaluates the unfolding once more in a filter on its size.
     flat = (

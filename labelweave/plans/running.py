@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.session import materialise
+
 #: Keys per window task. With two levels of blocks, the last window sees one row per FAN_OUT ** 2 keys.
 FAN_OUT = 4096
 
@@ -34,6 +38,43 @@ def running_offset(
     )
 
 
+def ordered_offsets(df: DataFrame, order: str, amount: str, out: str, partitions: int | None = None) -> DataFrame:
+    """``(order, out)``: sum of ``amount`` (null: 0) over all rows with a smaller ``order``, a unique value.
+
+    One pass: rows are range-partitioned by ``order`` and sorted inside their partition, each task adds up its own
+    rows, and the totals of the partitions (one number each) give every partition its offset, which is added by
+    partition number. The input is read once, written, and only the written copy is sampled and partitioned; keys
+    may be sparse, negative or very large, as only their order counts.
+    """
+    spark = df.sparkSession
+    keyed = materialise(df.select(order, F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("_amount")))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    key_type = keyed.schema[order].dataType.simpleString()
+
+    def running(batches):
+        total = 0
+        for batch in batches:
+            amounts = batch.column("_amount").to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.cumsum(amounts) - amounts + total
+            total += int(amounts.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(order), batch.column("_part"), batch.column("_amount"), pa.array(before)],
+                [order, "_part", "_amount", "_within"],
+            )
+
+    within = materialise(
+        ranged.mapInArrow(running, f"`{order}` {key_type}, _part int, _amount long, _within long")
+    )
+    totals = sorted((r["_part"], r["_sum"]) for r in within.groupBy("_part").agg(F.sum("_amount").alias("_sum")).collect())
+    offsets, start = [], 0
+    for part, total in totals:
+        offsets.append((part, start))
+        start += total
+    table = spark.createDataFrame(offsets, "_part int, _offset long")
+    return within.join(F.broadcast(table), "_part").select(order, (F.col("_within") + F.col("_offset")).alias(out))
+
+
 #: Up to this many rows a plain top-n is cheaper than ranking everything.
 TOP_N_ROWS = 10_000
 
