@@ -284,3 +284,16 @@ def test_cuckoo_filter_inserts_finds_and_deletes():
     assert line_dedup.contains(table, hashes[10_000:]).all()
     others = rng.integers(-(2**63), 2**63 - 1, size=20_000, dtype=np.int64).view(np.uint64)
     assert line_dedup.contains(table, others).mean() < 0.01
+
+
+def test_a_ids_equal_the_tokenizers_library_on_the_corpus(sf_dir):
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    mine = token_alignment._models(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+    texts = [" " + (t or "") for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += [" <|endoftext|> a b  \t\n\n x's 'll 12345 😀"]
+    assert [mine.encode_ordinary(t) for t in texts] == [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
