@@ -231,13 +231,57 @@ WITH RECURSIVE topic_of AS (
         WHEN 1 THEN sum(tokens * weight) OVER (PARTITION BY lang)
         ELSE sum(tokens * weight) OVER (PARTITION BY topic) END AS mass
     FROM raked WHERE step < 36)
+), vals AS (
+  SELECT 'source' AS m, source AS v, sum(tokens) AS tokens FROM cells GROUP BY source
+  UNION ALL SELECT 'lang', lang, sum(tokens) FROM cells GROUP BY lang
+  UNION ALL SELECT 'topic', topic, sum(tokens) FROM cells GROUP BY topic
+), shares AS (
+  SELECT m, v, tokens, pow(tokens, 0.7) / sum(pow(tokens, 0.7)) OVER (PARTITION BY m) AS share FROM vals
+), fill(m, it, scale, n_full, done) AS (
+  SELECT DISTINCT m, 0, (SELECT 0.5 * sum(tokens) FROM cells), -1::BIGINT, false FROM shares
+  UNION ALL
+  SELECT f.m, f.it + 1,
+    CASE WHEN count(*) FILTER (s.share * f.scale >= s.tokens) <= f.n_full
+      OR coalesce(sum(s.share) FILTER (NOT s.share * f.scale >= s.tokens), 0) = 0 THEN f.scale
+    ELSE ((SELECT 0.5 * sum(tokens) FROM cells) - coalesce(sum(s.tokens) FILTER (s.share * f.scale >= s.tokens), 0))
+      / sum(s.share) FILTER (NOT s.share * f.scale >= s.tokens) END,
+    count(*) FILTER (s.share * f.scale >= s.tokens),
+    count(*) FILTER (s.share * f.scale >= s.tokens) <= f.n_full
+      OR coalesce(sum(s.share) FILTER (NOT s.share * f.scale >= s.tokens), 0) = 0
+  FROM fill f JOIN shares s ON s.m = f.m WHERE NOT f.done GROUP BY f.m, f.it, f.scale, f.n_full
+), reach AS (
+  SELECT s.m, s.v, least(s.tokens, s.share * f.scale) AS aim FROM shares s JOIN fill f ON f.m = s.m AND f.done
+), aims AS (
+  SELECT c.source, c.lang, c.topic, c.tokens, rs.aim AS aim_s, rl.aim AS aim_l, rt.aim AS aim_t FROM cells c
+  JOIN reach rs ON rs.m = 'source' AND rs.v = c.source JOIN reach rl ON rl.m = 'lang' AND rl.v = c.lang
+  JOIN reach rt ON rt.m = 'topic' AND rt.v = c.topic
+), bound AS (
+  SELECT 0 AS step, *, 1.0::DOUBLE AS p, false AS fixed, false AS stop FROM aims
+  UNION ALL
+  SELECT step + 1, source, lang, topic, tokens, aim_s, aim_l, aim_t,
+    CASE WHEN phase = 36 THEN CASE WHEN fixed OR above THEN 1.0 ELSE p END
+      WHEN fixed THEN 1.0 ELSE p * CASE WHEN mass > 0 THEN greatest(aim - held, 0) / mass ELSE 0 END END,
+    CASE WHEN phase = 36 THEN fixed OR above ELSE fixed END,
+    phase = 36 AND NOT any_above
+  FROM (
+    SELECT *, step % 37 AS phase, NOT fixed AND p > 1 + 1e-9 AS above,
+      bool_or(NOT fixed AND p > 1 + 1e-9) OVER () AS any_above,
+      CASE step % 37 % 3 WHEN 0 THEN aim_s WHEN 1 THEN aim_l ELSE aim_t END AS aim,
+      CASE step % 37 % 3 WHEN 0 THEN sum(CASE WHEN fixed THEN 0 ELSE tokens * p END) OVER (PARTITION BY source)
+        WHEN 1 THEN sum(CASE WHEN fixed THEN 0 ELSE tokens * p END) OVER (PARTITION BY lang)
+        ELSE sum(CASE WHEN fixed THEN 0 ELSE tokens * p END) OVER (PARTITION BY topic) END AS mass,
+      CASE step % 37 % 3 WHEN 0 THEN sum(CASE WHEN fixed THEN tokens ELSE 0 END) OVER (PARTITION BY source)
+        WHEN 1 THEN sum(CASE WHEN fixed THEN tokens ELSE 0 END) OVER (PARTITION BY lang)
+        ELSE sum(CASE WHEN fixed THEN tokens ELSE 0 END) OVER (PARTITION BY topic) END AS held
+    FROM bound WHERE NOT stop)
 ), weighed AS (
-  SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight
-  FROM counted JOIN (SELECT * FROM raked WHERE step = 36) USING (source, lang, topic)
+  SELECT doc_id, source, lang, topic, n_tokens, round(r.weight, 9) AS weight, round(least(1.0, b.p), 9) AS probability
+  FROM counted JOIN (SELECT * FROM raked WHERE step = 36) r USING (source, lang, topic)
+  JOIN (SELECT * FROM bound WHERE stop) b USING (source, lang, topic)
 )
-SELECT doc_id, source, lang, topic, n_tokens, weight, round(least(1.0, weight * 0.5), 9) AS probability,
+SELECT doc_id, source, lang, topic, n_tokens, weight, probability,
   coalesce(CAST('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE
-    < round(least(1.0, weight * 0.5), 9), false) AS sampled
+    < probability, false) AS sampled
 FROM weighed
 """
 
