@@ -1,8 +1,9 @@
 """Incremental, reversible line deduplication: sharded cuckoo filters in front of exact reference counts.
 
-A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. The exact state is a table
-of reference counts: for every key, the number of documents that hold it, grouped in Spark (a document's copies of a
-line are combined before the shuffle, so a key found in a third of all documents is one partial count per task).
+A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. The state is a table of
+reference counts: for every key, by its 128-bit hash pair, the number of documents that hold it, grouped in Spark
+(a document's copies of a line are combined before the shuffle, so a key found in a third of all documents is one
+partial count per task).
 Keys held by at least ``min_docs`` documents are frequent, and every line with a frequent key is dropped.
 
 Frequent keys are also kept in cuckoo filters (buckets of four 16-bit fingerprints, two buckets a key, partial-key
@@ -33,25 +34,40 @@ SHARD_KEYS, SLOTS, LOAD, KICKS = 1 << 20, 4, 0.84, 500
 #: Filters are broadcast up to this many bytes in all; beyond it every line goes to the exact join, same result.
 BROADCAST_FILTER_BYTES = 64 << 20
 
-SPACE = r"[\x20\x09-\x0D]"
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 FILTER = "shard int, n_buckets long, slots binary, overflow boolean"
 
 
 def line_key(line: Column) -> Column:
-    """The line without white space at either end, A-Z lower-cased (``\\z``: Java's ``$`` would stop early)."""
-    return lower_az(F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+\z", ""))
+    """The line without ``[\\x20\\x09-\\x0D]`` at either end, A-Z lower-cased; a trim, not a pattern."""
+    return lower_az(F.btrim(line, F.lit(SPACE_CHARS)))
+
+
+def key_hashes(key: Column) -> Column:
+    """The 128-bit hash pair (h, g) by which keys are counted and looked up."""
+    return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit("line"), key).alias("g"))
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
-    """(_row, pos, line, key, h) of every line; a null or empty text is one empty line."""
-    exploded = docs.select("_row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    return exploded.withColumn("key", line_key(F.col("line"))).withColumn("h", F.xxhash64("key"))
+    """(_row, pos, h, g) of every line whose key has ``MIN_KEY_CHARS`` code points or more; h and g hash the key."""
+    keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
+    exploded = docs.select("_row", F.posexplode(keys).alias("pos", "key"))
+    return exploded.filter(F.length("key") >= MIN_KEY_CHARS).select("_row", "pos", key_hashes(F.col("key")).alias("k")).select(
+        "_row", "pos", "k.h", "k.g"
+    )
 
 
 def key_counts(docs: DataFrame, sign: int = 1) -> DataFrame:
-    """(key, h, n_docs): documents that hold each key of at least ``MIN_KEY_CHARS`` code points, times ``sign``."""
-    lines = doc_lines(docs).filter(F.length("key") >= MIN_KEY_CHARS)
-    return lines.select("_row", "key", "h").distinct().groupBy("key", "h").agg((F.count(F.lit(1)) * sign).alias("n_docs"))
+    """(h, g, n_docs): documents that hold each key of at least ``MIN_KEY_CHARS`` code points, times ``sign``.
+
+    Keys are counted by their 128-bit hash pair, so 16 bytes a key are shuffled, and a document's keys are made
+    distinct inside its row before that, so no shuffle is needed to count each document once.
+    """
+    keys = F.filter(
+        F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key), lambda k: F.length(k) >= MIN_KEY_CHARS
+    )
+    held = docs.select(F.explode(F.array_distinct(F.transform(keys, key_hashes))).alias("k"))
+    return held.groupBy("k.h", "k.g").agg((F.count(F.lit(1)) * sign).alias("n_docs"))
 
 
 # --- cuckoo filters, on arrays in tasks ---
@@ -137,7 +153,7 @@ def shard_of(h: Column, n_shards: int) -> Column:
 
 @dataclass(frozen=True)
 class LineDedup:
-    """Reference counts (key, h, n_docs) as a stored table, and a cuckoo filter per shard as another."""
+    """Reference counts (h, g, n_docs) as a stored table, and a cuckoo filter per shard as another."""
 
     counts: DataFrame
     filters: DataFrame
@@ -168,12 +184,12 @@ class LineDedup:
         rows = docs.select(F.monotonically_increasing_id().alias("_row"), "text")
         delta = key_counts(rows, sign).withColumnRenamed("n_docs", "delta")
         old = self.counts.withColumnRenamed("n_docs", "before")
-        joined = old.join(delta, ["key", "h"], "full").select(
-            "key", "h", F.coalesce("before", F.lit(0)).alias("before"),
+        joined = old.join(delta, ["h", "g"], "full").select(
+            "h", "g", F.coalesce("before", F.lit(0)).alias("before"),
             (F.coalesce("before", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("n_docs"),
         )
         joined = stored(joined, "line-counts")
-        counts = stored(joined.filter("n_docs > 0").select("key", "h", "n_docs"), "line-counts")
+        counts = stored(joined.filter("n_docs > 0").select("h", "g", "n_docs"), "line-counts")
         bound = self.min_docs
         entering = (F.col("before") < bound) & (F.col("n_docs") >= bound)
         leaving = (F.col("before") >= bound) & (F.col("n_docs") < bound)
@@ -197,7 +213,7 @@ class LineDedup:
         return LineDedup(self.counts, filters, self.n_shards, self.min_docs)._rebuilt_overflows()
 
     def frequent(self) -> DataFrame:
-        return self.counts.filter(F.col("n_docs") >= self.min_docs).select("key", "h")
+        return self.counts.filter(F.col("n_docs") >= self.min_docs).select("h", "g")
 
     def maybe_frequent(self, lines: DataFrame) -> DataFrame:
         """Lines whose key the filters may hold; with filters over the broadcast bound, all lines."""
@@ -228,9 +244,9 @@ class LineDedup:
         return lines.mapInPandas(probe, schema)
 
     def dropped(self, lines: DataFrame) -> DataFrame:
-        """(_row, pos) of lines with a frequent key: filter first, then the exact join on key and hash."""
-        candidates = self.maybe_frequent(lines.filter(F.length("key") >= MIN_KEY_CHARS).select("_row", "pos", "key", "h"))
-        return candidates.join(self.frequent(), ["key", "h"], "left_semi").select("_row", "pos")
+        """(_row, pos) of lines with a frequent key: the filter first, then the join on the hash pair."""
+        candidates = self.maybe_frequent(lines.select("_row", "pos", "h", "g"))
+        return candidates.join(self.frequent(), ["h", "g"], "left_semi").select("_row", "pos")
 
 
 def _build_shard(keys: pd.DataFrame) -> pd.DataFrame:
@@ -264,13 +280,14 @@ def _update_shard(filters: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
 def deduplicate(documents: DataFrame, state: LineDedup | None = None) -> DataFrame:
     """Per document row: doc_id, n_lines, n_dropped, kept_sha256 (of the kept lines joined by ``\\n``), kept_text.
 
-    ``state`` defaults to the state built from ``documents`` themselves. Lines split at ``\\n`` only; a null or
+    ``state`` defaults to the state built from ``documents`` themselves; the documents are read again, not copied.
+    Keys are told apart by their 128-bit hash pair: two keys that share one would be counted together, at odds of
+    about n^2 / 2^129 for n distinct keys. Lines split at ``\\n`` only; a null or
     empty text is one empty line, which is kept. Repeated rows count as separate documents; a null doc_id stays
     null. Columns other than doc_id and text are ignored.
     """
-    docs = stored(
-        documents.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"),
-        "line-docs",
+    docs = documents.select(
+        F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     state = state or LineDedup.build(docs)
     dropped = state.dropped(doc_lines(docs)).groupBy("_row").agg(F.collect_list("pos").alias("gone"))

@@ -266,12 +266,14 @@ def test_removing_documents_reverses_adding_them(spark):
     more = spark.createDataFrame(line_docs()[9:], LINE_SCHEMA)
     base = line_dedup.LineDedup.build(first)
     grown = base.add(more)
-    assert {r["key"] for r in grown.frequent().collect()} >= {"subscribe to our newsletter"}
+    assert grown.frequent().count() > base.frequent().count()
     back = grown.remove(more)
     assert sorted(back.counts.collect()) == sorted(base.counts.collect())
-    keys = spark.createDataFrame([("subscribe to our newsletter",)], "key string").selectExpr("key", "xxhash64(key) AS h")
-    assert back.maybe_frequent(keys.selectExpr("0L AS _row", "0 AS pos", "key", "h")).count() == 0
-    assert grown.maybe_frequent(keys.selectExpr("0L AS _row", "0 AS pos", "key", "h")).count() == 1
+    keys = spark.createDataFrame([("subscribe to our newsletter",)], "key string").selectExpr(
+        "key", "xxhash64(key) AS h", "xxhash64('line', key) AS g"
+    )
+    assert back.maybe_frequent(keys.selectExpr("0L AS _row", "0 AS pos", "key", "h", "g")).count() == 0
+    assert grown.maybe_frequent(keys.selectExpr("0L AS _row", "0 AS pos", "key", "h", "g")).count() == 1
 
 
 def test_cuckoo_filter_inserts_finds_and_deletes():
