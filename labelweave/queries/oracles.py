@@ -283,6 +283,11 @@ def build() -> dict[str, str]:
             clean_words('t', None), clean_words('std_text', None))}
             SELECT item_id, std_id AS predicted_standard, round(sim, 9) AS confidence FROM pairs
             QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 9) DESC, ord) = 1""",
+        "text_label_match_sparse": f"""WITH {text_scores(
+            "SELECT 0 AS grp, doc_id AS item_id, text AS t FROM documents",
+            clean_words('t', None), clean_words('std_text', None))}
+            SELECT item_id, std_id AS predicted_standard, round(sim, 9) AS confidence FROM pairs
+            QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 9) DESC, ord) = 1""",
         "text_variant_predictions": f"""{VARIANTS}
             SELECT grp AS approach, item_id, predicted_standard, confidence FROM best""",
         "compare_text_variants": f"""{VARIANTS}, {CONTAINED},

@@ -13,6 +13,7 @@ from labelweave.functions.text import clean_text, clean_words, preview, raw_word
 from labelweave.operators import evaluate, profile
 from labelweave.operators.classify import classify, match_definitions, predictions, transfer_labels
 from labelweave.operators.flatten import flatten_items, flatten_labels
+from labelweave.operators.sparse import sparse_matches
 from labelweave.operators.pages import add_page_text, enrich_items, extract_pages, extract_wanted_pages
 from labelweave.operators.vectors import DIMS, encode, hash_buckets, term_counts
 from labelweave.plans.align import TEXT_OF, align, vector_of
@@ -126,6 +127,18 @@ def text_label_match(spark, sf_dir):
     return matched.select("item_id", "predicted_standard", "confidence")
 
 
+@query
+def text_label_match_sparse(spark, sf_dir):
+    """As ``text_label_match``, by inverted lists of the labels' terms instead of dense rows."""
+    items = inputs.documents(spark, sf_dir).select(
+        F.col("doc_id").alias("item_id"), hash_buckets(clean_words(F.col("text"), None)).alias("vector")
+    )
+    labels = inputs.text_labels(spark, sf_dir).withColumn(
+        "vector", hash_buckets(clean_words(F.col("std_text"), None))
+    )
+    return sparse_matches(items, labels).select("item_id", "predicted_standard", "confidence")
+
+
 def _text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of all text variants in one pass over the documents."""
     items = enrich_items(inputs.document_items(spark, sf_dir))
