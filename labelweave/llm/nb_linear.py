@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelweave.llm.shared import crc_mod, first_rows, stored
 
 BITS = 20
 ORDERS = (4, 5, 6)
-#: Labelled documents of each class that a model is fitted on at most.
+#: Labelled documents of each class that a model is fitted on at most, and their characters at most: the documents of
+#: smallest hash are taken until either bound is reached, so what reaches the driver is bounded by bytes, not rows alone.
 SAMPLE = 3000
+SAMPLE_CHARS = 2_000_000
 SMOOTHING = 1.0
 #: Documents of the sample that hold a feature at least.
 MIN_DOCS = 5
@@ -114,19 +116,29 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _features(selected: np.ndarray):
+    """Distinct selected features of each text, looked up in a mask of the feature space."""
+    chosen = np.zeros(1 << BITS, bool)
+    chosen[selected] = True
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = [np.intersect1d(grams(t), selected).astype(np.int32).tobytes() for t in batch["text"]]
+            held = []
+            for text in batch["text"]:
+                codes = grams(text)
+                held.append(np.unique(codes[chosen[codes]]).astype(np.int32).tobytes())
             yield pd.DataFrame({"toxic": batch["toxic"].to_numpy(), "codes": held})
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1) -> NaiveBayesLinear:
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1, sample_chars: int = SAMPLE_CHARS
+) -> NaiveBayesLinear:
     """Fit on labelled documents whose crc32 of the id isn't ``held`` modulo ``folds``.
 
-    At most ``sample`` documents of each class, those of the smallest hashes of their ids, so training costs the same at
-    any size of corpus. Features are all n-grams in ``MIN_DOCS`` documents or more; how far to trust one is left to its
+    At most ``sample`` documents of each class, those of the smallest hashes of their ids, and of those only as many as
+    hold ``sample_chars`` characters together (the first one always), so training costs the same at any size of corpus
+    and what is collected is bounded in bytes. Features are all n-grams in ``MIN_DOCS`` documents or more; how far to trust one is left to its
     log-count ratio and the penalty. Rows with a null id, text or label teach nothing. With one class only, or no feature, the
     model is constant.
     """
@@ -134,9 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     known = known.filter(crc_mod(F.col("doc_id"), folds) != held)
     chosen = [first_rows(known.filter(F.col("toxic") == t), ["doc_id"], sample, "toxicity") for t in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # two times ``sample`` rows at most
-    texts = stored(
-        docs.filter("text is not null").select("doc_id", "text").join(ids, "doc_id").select("toxic", "text"), "labelled"
-    )
+    joined = docs.filter("text is not null").select("doc_id", "text").join(ids, "doc_id")
+    # A window over at most 2 x ``sample`` rows: the running length in the order of the sample's hash.
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id", F.xxhash64("text"))
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    texts = stored(joined.withColumn("_before", before).filter(F.col("_before") < sample_chars).select("toxic", "text"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     weights = np.zeros(1 << BITS, np.float32)
