@@ -48,7 +48,7 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def originals(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Revisits and the record each of them revisits: page_id, refers_to.
+    """Revisits and the record each of them revisits: page_id, payload_digest, refers_to.
 
     Headers meet by payload digest. A digest's smallest page_id is its response; only digests with a second page come
     back to their headers, as a written table, so that Spark knows its size, and splits a hot digest.
@@ -63,7 +63,7 @@ def originals(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     return (
         eligible.join(stored(shared, "digests"), "payload_digest")
         .filter("page_id > refers_to")
-        .select("page_id", "refers_to")
+        .select("page_id", "payload_digest", "refers_to")
         .distinct()
     )
 
@@ -102,16 +102,20 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id is a response with the
     payload, the others are revisits without it. A null html is an empty payload, a null url an empty target; white space
     goes from a target. A row without page_id is a response with an empty id. Rows that repeat a page_id are written as
-    often as they stand there. Other columns are ignored.
+    often as they stand there, each by its own payload: a revisit is found by page_id and digest together. Other columns
+    are ignored.
     """
     heads = headers(pages)
     revisits = stored(originals(heads, min_bytes), "revisits")
     size = heads.agg(F.avg("payload_bytes")).first()[0] or 0
     records = (
-        pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-        .join(revisits, "page_id", "left")
+        pages.select(
+            "page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
+            base32_sha1(payload_of(F.col("html"))).alias("payload_digest"),
+        )
+        .join(revisits, ["page_id", "payload_digest"], "left")
         .select(
-            "page_id", "refers_to", "url", base32_sha1(payload_of(F.col("html"))).alias("payload_digest"),
+            "page_id", "refers_to", "url", "payload_digest",
             F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), F.lit(date).alias("date"),
         )
     )
@@ -179,7 +183,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(records: DataFrame) -> DataFrame:
     """Records with the size and digest of the full payload, which revisits take from the response they refer to.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to. Only headers are shuffled.
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit meets its response by page_id and
+    digest, so a page_id that stands for several payloads keeps each. Only headers are shuffled.
     """
     number = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).try_cast("long")
     heads = records.select(
@@ -188,14 +193,14 @@ def resolved(records: DataFrame) -> DataFrame:
         number(F.col("refers_to")).alias("refers_to"),
     )
     heads = stored(heads, "heads")
-    wanted = stored(heads.filter("record_type = 'revisit'").select("refers_to").distinct(), "wanted")
+    wanted = stored(heads.filter("record_type = 'revisit'").select("refers_to", "payload_digest").distinct(), "wanted")
     responses = (
         heads.filter("record_type = 'response'")
-        .join(wanted.withColumnRenamed("refers_to", "page_id"), "page_id", "left_semi")
-        .groupBy(F.col("page_id").alias("refers_to"))
+        .join(wanted.withColumnRenamed("refers_to", "page_id"), ["page_id", "payload_digest"], "left_semi")
+        .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
         .agg(F.min("stored_bytes").alias("original_bytes"))
     )
-    return heads.join(stored(responses, "responses"), "refers_to", "left").select(
+    return heads.join(stored(responses, "responses"), ["refers_to", "payload_digest"], "left").select(
         "page_id",
         F.when(F.col("record_type") == "revisit", F.col("original_bytes")).otherwise(F.col("stored_bytes")).alias(
             "payload_bytes"

@@ -423,3 +423,17 @@ def test_rare_toxic_words_are_learned(spark):
     toxic = [r.predicted for r in found if r.doc_id % 5 == 0]
     assert len(toxic) > 10 and np.mean(toxic) > 0.8
     assert not any(r.predicted for r in found if r.doc_id % 5)
+
+
+def test_warc_repeated_page_ids_keep_their_own_payloads(spark):
+    rows = [(1, "u", "AAAA"), (2, "u", "BB"), (5, "u", "AAAA"), (5, "u", "BB"), (6, "u", "unique"), (6, "u", "AAAA"),
+            (None, "u", "AAAA")]
+    got = sorted(
+        (r.page_id is None, r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to)
+        for r in warc.deduplicated(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    )
+    assert got == [
+        (False, 1, 4, "response", None), (False, 2, 2, "response", None), (False, 5, 2, "revisit", 2),
+        (False, 5, 4, "revisit", 1), (False, 6, 4, "revisit", 1), (False, 6, 6, "response", None),
+        (True, 0, 4, "response", None),
+    ]
