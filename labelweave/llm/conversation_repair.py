@@ -13,6 +13,8 @@ edit sequences of least cost the one whose audit is ASCII-least is chosen.
 
 Rows of a conversation are ordered by turn (nulls first), then role, then text; identical rows are interchangeable.
 Identical copies are combined in Spark before the shuffle, so a group of copies travels as one row with a count.
+Conversations are hash-partitioned and sorted by Spark, and a task walks its sorted rows conversation by
+conversation; one conversation is still read by one task.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,20 +204,24 @@ def replay(audit: str, rows: list[tuple[str, str, bool]]) -> tuple[int, list[str
     return cost, lines
 
 
-def repair_group(rows: pd.DataFrame) -> dict:
-    """Counts, audit and repaired hash of one conversation from its combined rows (see ``damaged``).
+FIELDS = ("turn", "role", "text", "copies", "is_blank", "first", "is_truncated")
 
-    An empty conversation has zeros, an empty audit and the hash of the empty string.
+
+def repair_group(rows: list[tuple]) -> dict:
+    """Counts, audit and repaired hash of one conversation from its combined rows (see ``damaged``), in order.
+
+    Each row is (turn, role, text, copies, is_blank, first, is_truncated). An empty conversation has zeros, an empty
+    audit and the hash of the empty string.
     """
-    rows = rows.sort_values(["has_turn", "turn", "role", "text"], kind="stable")
     runs: list[Row] = []
     expanded: list[tuple[str, str, bool]] = []
     blank = duplicate = truncated = illegal = 0
     previous = None
-    for role, text, copies, is_blank, first, is_truncated in zip(
-        rows["role"], rows["text"], rows["copies"], rows["is_blank"], rows["first"], rows["is_truncated"]
-    ):
-        initial, copies = role[:1], int(copies)
+    turns = set()
+    for turn, role, text, copies, is_blank, first, is_truncated in rows:
+        if turn is not None:
+            turns.add(turn)
+        initial = role[:1]
         if previous is not None and previous + initial not in LEGAL_PAIRS:
             illegal += 1
         if initial + initial not in LEGAL_PAIRS:
@@ -237,22 +243,45 @@ def repair_group(rows: pd.DataFrame) -> dict:
             expanded.extend([(role, text, False)] * (copies - live))
     audit = cheapest_audit(runs) if runs else ""
     cost, lines = replay(audit, expanded)
-    turns = rows["turn"].dropna()
-    gaps = int(turns.max() - turns.min() + 1 - turns.nunique()) if len(turns) else 0
     return {
-        "gaps": gaps, "blank": blank, "duplicate": duplicate, "truncated": truncated, "illegal": illegal,
+        "gaps": max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+        "blank": blank, "duplicate": duplicate, "truncated": truncated, "illegal": illegal,
         "cost": cost, "audit": audit,
         "repaired_sha256": hashlib.sha256("\n".join(lines).encode("utf-8")).hexdigest(),
         "n_rows": len(expanded), "n_repaired": len(lines),
     }
 
 
-def _repair(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in groups:
-        key = rows["conv_id"].iloc[0]
-        live = rows[rows["copies"] > 0]
-        out = repair_group(live) | {"conv_id": None if pd.isna(key) else int(key)}
-        yield pd.DataFrame([out])
+def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations arrive sorted and whole inside a partition; one may run on across batches."""
+    key, rows, out = None, None, []
+
+    def close():
+        out.append(repair_group(rows) | {"conv_id": key})
+
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in ("conv_id", *FIELDS)]
+        for conv_id, *row in zip(*columns):
+            if rows is None or conv_id != key:
+                if rows is not None:
+                    close()
+                key, rows = conv_id, []
+            if row[3] > 0:
+                rows.append(tuple(row))
+        if len(out) >= 1024:
+            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            out = []
+    if rows is not None:
+        close()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+
+_SCHEMA = pa.schema(
+    [("conv_id", pa.int64())]
+    + [(name, pa.int64()) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    + [("audit", pa.string()), ("repaired_sha256", pa.string()), ("n_rows", pa.int64()), ("n_repaired", pa.int64())]
+)
 
 
 def damage_code(conv_id: Column, turn: Column) -> Column:
@@ -311,4 +340,5 @@ def repair(conversations: DataFrame) -> DataFrame:
     adjacent rows whose role initials are not su, ua or au. The columns of the input besides conv_id, turn, role and
     text are ignored.
     """
-    return damaged(conversations).groupBy("conv_id").applyInPandas(_repair, OUTPUT)
+    ordered = damaged(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "has_turn", "turn", "role", "text")
+    return ordered.mapInArrow(_repair, OUTPUT)
