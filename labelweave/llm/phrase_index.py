@@ -192,22 +192,34 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = 10, near:
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Returns doc_id, n_words, spans (start and end of every
     run of words inside exact matches), items (item_ids with exact matches), near_items (item_ids with a window whose
     words all lie within ``near`` words of the rarest of them). One row per row of ``docs``. Null and empty texts have no
-    words; null ids pass through; items without words or id match nothing; rows that repeat an id are judged each for
-    itself while the test items fit one pass, and together beyond.
+    words; null ids pass through; items without words or id match nothing; rows that repeat an id, or have none, are
+    judged each for itself however many passes the test items need. The rows are keyed by a number of their own, from
+    the scan of ``docs``, which every pass reads again.
     """
     if near >= GAP or width > GAP:
         raise ValueError(f"windows and distances are limited to {GAP} words")
     items = stored(benchmark.filter("item_id is not null").select("item_id", "text").distinct(), "items")
+    # Every row gets a key of its own, so rows that repeat or lack an id stay apart in every pass and in the merge.
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").alias("_doc_id"), "text")
+    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
     results = []
     for portion in _passes(items):
         windows = windows_of(portion, width)
-        index = stored(build_index(docs, [t.encode() for t in windows.terms]), "index")
+        index = stored(build_index(keyed, [t.encode() for t in windows.terms]), "index")
         results.append(search(index, windows, near))
-    if len(results) == 1:
-        return results[0]
     every = results[0]
     for more in results[1:]:
         every = every.unionByName(more)
+    if len(results) > 1:
+        every = _merged(every)
+    own = rows.select("_row", "_doc_id")
+    return every.withColumnRenamed("doc_id", "_row").join(own, "_row").select(
+        F.col("_doc_id").alias("doc_id"), *[c for c in every.columns if c != "doc_id"]
+    )
+
+
+def _merged(every: DataFrame) -> DataFrame:
+    """Findings of several passes per row key, as one."""
     joined = every.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),

@@ -437,3 +437,18 @@ def test_warc_repeated_page_ids_keep_their_own_payloads(spark):
         (False, 5, 4, "revisit", 1), (False, 6, 4, "revisit", 1), (False, 6, 6, "response", None),
         (True, 0, 4, "response", None),
     ]
+
+
+@pytest.mark.parametrize("pass_words", [2_000_000, 12])
+def test_passages_keep_rows_with_repeated_or_null_ids(spark, monkeypatch, pass_words):
+    monkeypatch.setattr(phrase_index, "PASS_WORDS", pass_words)
+    item = " ".join(f"t{i}" for i in range(10))
+    other = " ".join(f"u{i}" for i in range(10))
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, item), (1, other + " " + item), (None, item), (None, "clean text"), (3, "nothing")], "doc_id bigint, text string"
+    )
+    got = sorted(
+        (r.doc_id is None, r.doc_id or 0, r.n_items) for r in phrase_index.contamination(docs, bench).collect()
+    )
+    assert got == [(False, 1, 1), (False, 1, 2), (False, 3, 0), (True, 0, 0), (True, 0, 1)]
