@@ -18,7 +18,7 @@ HEADLINE = [
     "text_label_match", "text_variant_predictions", "compare_text_variants", "text_term_vectors", "accuracy",
     "performance_tiers", "confusion_topk", "category_confusion", "label_counts", "summary_table", "clean_documents",
     "page_texts", "flatten_catalogue", "enriched_items", "item_alignment", "profile_items", "length_reduction",
-    "submission_roundtrip",
+    "submission_roundtrip", "wanted_page_texts", "knn_transfer_indexed", "text_label_match_sparse",
 ]
 
 
