@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -12,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelweave.llm.shared import in_worker
+
 #: The pattern by which byte-level vocabularies of this kind split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces longer than this are counted anew each time, and a full cache is emptied, so a worker's memory is bounded.
@@ -98,10 +99,9 @@ class MergeCounter:
         return total + self.plain(text[start:] if start else text)
 
 
-@lru_cache(maxsize=2)
 def counter_of(model: str) -> MergeCounter:
     """One counter per Python worker and vocabulary."""
-    return MergeCounter(json.loads(model))
+    return in_worker(("merges", model), lambda: MergeCounter(json.loads(model)))
 
 
 def n_tokens(text: Column, model: str) -> Column:

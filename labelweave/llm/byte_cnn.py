@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.shared import crc_mod, first_rows, stored
+from labelweave.llm.shared import crc_mod, first_rows, plain_broadcast, rebuilt, stored
 
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 256, 4, (2, 3, 4), 8
 WIDEST = max(WIDTHS)
@@ -178,11 +178,11 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     Ties go to the language that sorts first. Texts are read whole. A null id is not held out. Only text enters a
     prediction; other columns are ignored.
     """
-    network = docs.sparkSession.sparkContext.broadcast(train(docs, folds, held))
+    network = plain_broadcast(docs.sparkSession, train(docs, folds, held))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        net = network.value
+        net = rebuilt(ByteNetwork, network.value)
         for texts in batches:
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             lettered = [i for i, t in enumerate(texts) if t and net.languages and any(map(str.isalpha, t))]

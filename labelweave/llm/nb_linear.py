@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.shared import crc_mod, first_rows, stored
+from labelweave.llm.shared import crc_mod, first_rows, plain_broadcast, rebuilt, stored
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -180,12 +180,13 @@ def train(
 
 def toxicity(text: Column, model: NaiveBayesLinear) -> Column:
     """Score column, 0 to 1."""
-    shared = SparkSession.active().sparkContext.broadcast(model)
+    shared = plain_broadcast(SparkSession.active(), model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = rebuilt(NaiveBayesLinear, shared.value)
         for texts in batches:
-            yield pd.Series(shared.value.scores(texts))
+            yield pd.Series(found.scores(texts))
 
     return score(text)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,3 +62,26 @@ def first_rows(df: DataFrame, keys: Iterable[str], limit: int, seed: str) -> Dat
     keys = list(keys)
     order = F.xxhash64(F.lit(seed), *keys)
     return df.orderBy(order, *keys).limit(limit)
+
+
+def plain_broadcast(spark: SparkSession, model: object):
+    """The fields of ``model`` broadcast as plain values (arrays, lists, numbers), not as an object of this package,
+    so that executors need no copy of the package to read them; ``rebuilt`` makes the object again in a task."""
+    return spark.sparkContext.broadcast(dict(vars(model)))
+
+
+def rebuilt(kind: type, fields: dict) -> object:
+    """An object of ``kind`` with the given fields, without running its constructor again."""
+    made = object.__new__(kind)
+    made.__dict__.update(fields)
+    return made
+
+
+def in_worker(key: object, make: Callable[[], object]) -> object:
+    """``make()`` once per Python process and key. The cache lives in a module of the process, not of this package:
+    functions of this package reach the workers by value, so a cache of their own would not outlive a task."""
+    store = sys.modules.setdefault("_labelweave_worker_cache", types.ModuleType("_labelweave_worker_cache"))
+    entries = store.__dict__.setdefault("entries", {})
+    if key not in entries:
+        entries[key] = make()
+    return entries[key]

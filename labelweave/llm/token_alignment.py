@@ -15,7 +15,6 @@ import hashlib
 import json
 from operator import itemgetter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.bpe_count import byte_letters
-from labelweave.llm.shared import small
+from labelweave.llm.shared import in_worker, small
 
 #: The word-start mark of SentencePiece pieces and the form of its byte pieces.
 PIECE_SPACE = "▁"
@@ -38,8 +37,11 @@ TOKENS = (
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 18, 64
 
 
-@lru_cache(maxsize=4)
 def _models(a_path: str, b_path: str):
+    return in_worker(("alignment", a_path, b_path), lambda: _load(a_path, b_path))
+
+
+def _load(a_path: str, b_path: str):
     """A's encoder and B's processor with the bytes of every id, made once per Python worker, one thread each.
 
     A's vocabulary and merge ranks come from its JSON file: the byte-level letters of each entry give its bytes, its id
