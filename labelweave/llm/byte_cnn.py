@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.shared import crc_mod, first_rows, plain_broadcast, rebuilt, stored
+from labelweave.llm.shared import crc_mod, plain_broadcast, rebuilt, stored
 
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 256, 4, (2, 3, 4), 8
 WIDEST = max(WIDTHS)
@@ -150,20 +150,31 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0) -> ByteNetwork:
     """Train on text and lang of documents whose crc32 of the id isn't ``held`` modulo ``folds``.
 
     Of each language the ``SAMPLE`` documents with the smallest hashes of their ids serve, with ``SAMPLE_WINDOWS`` windows
-    each, so training costs the same at any size of corpus. Rows with a null id, text or lang teach nothing.
+    each, so training costs the same at any size of corpus; they are found in one scan, by a ranked window within each
+    task and then within each language over what the tasks kept. Of more than ``LANGUAGES`` values of lang the most
+    frequent are learned and the others teach nothing. Rows with a null id, text or lang teach nothing.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).filter(
         crc_mod(F.col("doc_id"), folds) != held
     )
-    names = sorted(r["lang"] for r in known.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # The most frequent languages, LANGUAGES at most; documents of rarer values beyond that teach nothing.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    names = sorted(r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
     if not names:
         return ByteNetwork([], *[np.zeros(0, np.float32)] * 5)
-    chosen = None
-    for lang in names:
-        part = first_rows(known.filter(F.col("lang") == lang).select("doc_id", "lang"), ["doc_id"], SAMPLE, "language")
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # One scan: the SAMPLE smallest hashes per language within each task, then per language over those.
+    order = F.xxhash64(F.lit("language"), "doc_id")
+    hashed = known.filter(F.col("lang").isin(names)).select("doc_id", "lang", order.alias("_h"))
+    local = Window.partitionBy("_part", "lang").orderBy("_h", "doc_id")
+    whole = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    chosen = (
+        hashed.withColumn("_part", F.spark_partition_id())
+        .withColumn("_r", F.row_number().over(local))
+        .filter(F.col("_r") <= SAMPLE)
+        .withColumn("_r", F.row_number().over(whole))
+        .filter(F.col("_r") <= SAMPLE)
+        .select("doc_id", "lang")
+    )
     ids = F.broadcast(chosen)  # SAMPLE rows of each language at most
     sample = stored(docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).select("lang", "text"), "langs")
     rows = sorted(sample.mapInPandas(_sampled, "lang string, window binary").collect())

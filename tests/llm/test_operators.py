@@ -452,3 +452,12 @@ def test_passages_keep_rows_with_repeated_or_null_ids(spark, monkeypatch, pass_w
         (r.doc_id is None, r.doc_id or 0, r.n_items) for r in phrase_index.contamination(docs, bench).collect()
     )
     assert got == [(False, 1, 1), (False, 1, 2), (False, 3, 0), (True, 0, 0), (True, 0, 1)]
+
+
+def test_languages_beyond_the_bound_teach_nothing(spark, monkeypatch):
+    monkeypatch.setattr(byte_cnn, "LANGUAGES", 2)
+    words = {"en": "the cat and the dog ", "de": "der hund und die katze ", "fr": "le chat et le chien "}
+    rows = [(i, (words[lang] * 5).strip(), lang, "s", 0) for i, lang in enumerate(["en"] * 30 + ["de"] * 20 + ["fr"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = {r.lang_pred for r in byte_cnn.identify(docs).collect()}
+    assert found <= {"en", "de"}
