@@ -1,27 +1,25 @@
-"""Bloom filters of a key column: built in pieces by tasks, probed in the scan of another table.
-
-A filter is sized from a count of the distinct keys for a stated false-positive rate. Every task sets the bits of its
-own keys and hands on only its non-zero 64-bit words; words are combined by a bitwise or per word, so no task holds
-more than its part and its filter. The driver assembles the words into one array only up to ``MAX_FILTER_BYTES``;
-beyond that there is no filter and callers join exactly without it, with the same result. Keys are hashed in the JVM
-(two 64-bit xxhash values, double hashing); only those two numbers cross to Python when a row is probed.
+"""Bloom filters of a key column, built and probed with built-in functions only.
+
+A filter is sized from a count of the distinct keys for a stated false-positive rate. Every key sets ``k`` bits by
+double hashing of two JVM-side xxhash values, ``(h1 mod m + i * (h2 mod (m - 1) + 1)) mod m``; the bits are combined
+per 64-bit word by ``bit_or`` in Spark, so no task holds more than its part, and only the non-zero words reach the
+driver. The probe reads the filter as one binary literal and tests the ``k`` bits of each row's key with built-in
+functions, so the scan stays in the JVM and no column goes to Python. Filters over ``MAX_FILTER_BYTES`` are not made;
+callers then decide by their exact join alone, with the same result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
-#: Rate of false positives a filter is sized for, and the largest filter that is assembled and broadcast.
+#: Rate of false positives a filter is sized for, and the largest filter that is assembled and sent with the plan.
 FALSE_POSITIVES = 0.01
-MAX_FILTER_BYTES = 64 << 20
+MAX_FILTER_BYTES = 4 << 20
 SALT = "bloom"
 
 
@@ -29,19 +27,18 @@ def key_hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit(SALT), key)
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, n_hashes: int, n_bits: int) -> np.ndarray:
-    """Bit positions by double hashing: (h1 + i * h2) mod n_bits for i < n_hashes, one column per i."""
-    h1, h2 = h1.astype(np.uint64), h2.astype(np.uint64) | np.uint64(1)
-    steps = np.arange(n_hashes, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        return (h1[:, None] + steps[None, :] * h2[:, None]) % np.uint64(n_bits)
+def _position(key: Column, i: Column, n_bits: int) -> Column:
+    """Bit ``i`` of a key: double hashing, in ranges where long arithmetic cannot overflow."""
+    h1, h2 = key_hashes(key)
+    first, step = F.pmod(h1, F.lit(n_bits)), F.pmod(h2, F.lit(n_bits - 1)) + 1
+    return F.pmod(first + i.cast("long") * step, F.lit(n_bits))
 
 
 @dataclass(frozen=True)
 class BloomFilter:
     n_bits: int
     n_hashes: int
-    words: np.ndarray  # uint64, n_bits / 64 of them
+    words: np.ndarray  # uint64, n_bits / 64 of them; bit p is bit p % 64 of word p // 64
 
     @staticmethod
     def shape(n_keys: int, rate: float = FALSE_POSITIVES) -> tuple[int, int]:
@@ -51,10 +48,19 @@ class BloomFilter:
         bits = 64 * math.ceil(bits / 64)
         return bits, max(1, round(bits / n_keys * math.log(2)))
 
+    def positions(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The bits of keys by their two hashes, one column per hash function, as the probe computes them."""
+        first = np.mod(h1.astype(np.int64), self.n_bits)
+        step = np.mod(h2.astype(np.int64), self.n_bits - 1) + 1
+        return np.mod(first[:, None] + np.arange(self.n_hashes)[None, :] * step[:, None], self.n_bits)
+
     def might_contain(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        at = _positions(h1, h2, self.n_hashes, self.n_bits)
-        bits = (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-        return bits.all(axis=1)
+        at = self.positions(h1, h2)
+        return ((self.words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(bool).all(axis=1)
+
+    def literal(self) -> Column:
+        """The bits as one binary literal: bit p is bit p % 8 of byte p // 8."""
+        return F.lit(bytearray(self.words.astype("<u8").tobytes()))
 
 
 def build(keys: DataFrame, key: str, rate: float = FALSE_POSITIVES) -> BloomFilter | None:
@@ -63,38 +69,30 @@ def build(keys: DataFrame, key: str, rate: float = FALSE_POSITIVES) -> BloomFilt
     n_bits, n_hashes = BloomFilter.shape(distinct.count(), rate)
     if n_bits // 8 > MAX_FILTER_BYTES:
         return None
-    h1, h2 = key_hashes(F.col(key))
+    exploded = distinct.select(key, F.explode(F.sequence(F.lit(0), F.lit(n_hashes - 1))).alias("i"))
+    spots = exploded.select(_position(F.col(key), F.col("i"), n_bits).alias("p"))
+    words = spots.groupBy((F.col("p") / 64).cast("long").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS INT))")).alias("bits")
+    )
+    filled = np.zeros(n_bits // 64, dtype=np.uint64)
+    for row in words.collect():  # n_bits / 64 rows at most, within MAX_FILTER_BYTES
+        filled[row["word"]] = np.array([row["bits"]], dtype=np.int64).view(np.uint64)[0]
+    return BloomFilter(n_bits, n_hashes, filled)
 
-    def piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = np.zeros(n_bits // 64, dtype=np.uint64)
-        for batch in batches:
-            at = _positions(batch["h1"].to_numpy(), batch["h2"].to_numpy(), n_hashes, n_bits).ravel()
-            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        used = np.flatnonzero(words)
-        yield pd.DataFrame({"word": used.astype(np.int64), "bits": words[used].view(np.int64)})
 
-    pieces = distinct.select(h1.alias("h1"), h2.alias("h2")).mapInPandas(piece, "word long, bits long")
-    combined = pieces.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    words = np.zeros(n_bits // 64, dtype=np.uint64)
-    if combined:
-        at = np.array([r["word"] for r in combined], dtype=np.int64)
-        words[at] = np.array([r["bits"] for r in combined], dtype=np.int64).view(np.uint64)
-    return BloomFilter(n_bits, n_hashes, words)
+def maybe_in(key: Column, bloom: BloomFilter) -> Column:
+    """Whether all bits of ``key`` are set, by built-in functions over the binary literal of the filter."""
+    bits = bloom.literal()
 
+    def set_at(i: Column) -> Column:
+        p = _position(key, i, bloom.n_bits)
+        byte = F.conv(F.hex(F.substr(bits, (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return (byte / F.pow(F.lit(2), p % 8)).cast("int") % 2 == 1
 
-def probe(df: DataFrame, key: str, bloom: BloomFilter | None) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in the filter, all of them without a filter; no other column goes to Python.
-
-    Null keys never pass. The filter is broadcast once as plain numbers.
-    """
-    if bloom is None:
-        return df.where(F.col(key).isNotNull())
-    shared = df.sparkSession.sparkContext.broadcast((bloom.n_bits, bloom.n_hashes, bloom.words))
+    return F.forall(F.sequence(F.lit(0), F.lit(bloom.n_hashes - 1)), set_at)
 
-    @pandas_udf("boolean")
-    def maybe(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        n_bits, n_hashes, words = shared.value
-        return pd.Series(BloomFilter(n_bits, n_hashes, words).might_contain(h1.to_numpy(), h2.to_numpy()))
 
-    h1, h2 = key_hashes(F.col(key))
-    return df.where(F.col(key).isNotNull()).where(maybe(h1, h2))
+def probe(df: DataFrame, key: str, bloom: BloomFilter | None) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in the filter, all of them without a filter. Null keys never pass."""
+    present = df.where(F.col(key).isNotNull())
+    return present if bloom is None else present.where(maybe_in(F.col(key), bloom))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,16 @@ def test_unreferenced_pages_are_not_parsed(spark):
     assert set(r.url for r in wanted.collect()) <= set(r.url for r in passed.collect())
     assert passed.count() < 100 + 0.03 * 19_900
     assert bloom.probe(pages, "url", None).count() == 20_000
+
+
+def test_probe_is_the_filters_own_test(spark):
+    from labelweave.operators import bloom
+
+    keys = spark.range(500).selectExpr("concat('k', id) AS url")
+    filter_ = bloom.build(keys, "url")
+    probes = spark.range(5_000).selectExpr("concat('k', id) AS url", "xxhash64(concat('k', id)) AS h1",
+                                          "xxhash64('bloom', concat('k', id)) AS h2").collect()
+    by_numpy = filter_.might_contain(np.array([r.h1 for r in probes]), np.array([r.h2 for r in probes]))
+    passed = {r.url for r in bloom.probe(spark.createDataFrame([(r.url,) for r in probes], "url string"), "url", filter_).collect()}
+    assert passed == {r.url for r, hit in zip(probes, by_numpy) if hit}
+    assert {f"k{i}" for i in range(500)} <= passed
