@@ -2,20 +2,21 @@
 
 If two sets are similar enough, their prefixes share a token, whatever the order that all sets are sorted by. The first
 order puts common tokens last, so that a prefix holds the rarest tokens; it finds the candidates. Candidates must then
-share a prefix token under each of the other orders too, and only what passes all filters is verified. Parity marks spare
-the move of sets that differ by too many tokens. Sets that are equal
-are one set from the start, and documents that a verified link has brought together aren't compared again, so the pairs
-of a group of copies are never listed.
+share a prefix token under each of the other orders too, and only what passes all filters is verified. Parity marks,
+folded short where rows of a token meet, tell apart sets that differ by too many tokens before a pair is written or a set
+moves. Sets that are equal are one set from the start, and documents that a verified link has brought together aren't
+compared again, so the pairs of a group of copies are never listed.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelweave.llm.components import components
@@ -132,15 +133,18 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def levels(profile: DataFrame) -> np.ndarray:
-    """How common tokens are, by cell of the count table: 0 for cells within chance of the mean load, else by log count.
+    """How common tokens are, by cell of the count table: in steps around the mean load, by log count far above.
 
     The table has ``CELLS`` cells whatever the corpus, so it may be collected and broadcast. Any level gives right
-    results; it decides how rare the tokens of a prefix are.
+    results; it decides how rare the tokens of a prefix are. Chance spreads the cells by the root of the mean load;
+    levels are steps of an eighth of that, so that a token somewhat more common than the rest already comes late: its
+    cell is above the usual ones, and prefixes take the tokens of the least cells.
     """
     total = collected(profile.filter("kind = 1"), CELLS)
     load = total.mean()
-    usual = load + 6 * np.sqrt(load) + 4
-    return np.where(total <= usual, 0, 1 + np.floor(4 * np.log2(np.maximum(total / usual, 1)))).astype(np.uint8)
+    near = 8 * (total - load) / np.sqrt(load + 1)
+    far = 64 + 32 * np.log2(np.maximum(near / 64, 1))
+    return (4096 + np.where(near <= 64, np.maximum(near, -4096), far)).astype(np.uint16)
 
 
 def _prefixes(shared):
@@ -153,7 +157,7 @@ def _prefixes(shared):
                 if not len(own):
                     continue
                 common = level[(own & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
-                first = prefix(own, (common << np.uint64(56)) | (own >> np.uint64(8)))
+                first = prefix(own, (common << np.uint64(48)) | (own >> np.uint64(16)))
                 tokens.append(first)
                 docs.append(np.full(len(first), doc, np.int64))
                 sizes.append(np.full(len(first), len(own), np.int32))
@@ -215,6 +219,21 @@ def _near_in_size(one: str, other: str):
     return (100 * F.col(one) >= PERCENT * F.col(other)) & (100 * F.col(other) >= PERCENT * F.col(one))
 
 
+def _few(odd: Column, one: str, other: str) -> Column:
+    """Whether sets of these sizes that differ by ``odd`` tokens at least may be similar."""
+    return (100 + PERCENT) * odd <= (100 - PERCENT) * (F.col(one) + F.col(other))
+
+
+#: Numbers of 64 bits in short marks.
+BRIEF = 4
+
+
+def brief(marks: str) -> list[Column]:
+    """Parity marks folded to ``BRIEF`` columns: the sum of two cells is odd if just one of them is."""
+    parts = [[F.col(marks)[i] for i in range(j, BITS // 64, BRIEF)] for j in range(BRIEF)]
+    return [functools.reduce(Column.bitwiseXOR, part).alias(f"brief{j}") for j, part in enumerate(parts)]
+
+
 def plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (a, b) that may be similar by the marks of ``sizes`` (doc, n, marks): similar sets differ by so few tokens."""
     own = lambda side: sizes.select(
@@ -223,8 +242,7 @@ def plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     odd = F.aggregate(
         F.zip_with("a_marks", "b_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k
     )
-    few = (100 + PERCENT) * odd <= (100 - PERCENT) * (F.col("a_n") + F.col("b_n"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").filter(few).select("a", "b").distinct()
+    return pairs.join(own("a"), "a").join(own("b"), "b").filter(_few(odd, "a_n", "b_n")).select("a", "b").distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -250,47 +268,47 @@ def linked(docs: DataFrame) -> DataFrame:
     level = spark.sparkContext.broadcast(levels(profile))
     gone = small(stored(again.select("doc").join(repeated, "doc", "left_anti"), "gone"))
     alone = texts.filter("doc is not null").join(gone, "doc", "left_anti")
-    prefixes = stored(alone.mapInArrow(_prefixes(level), "token bigint, doc bigint, n int"), "prefixes")
-    tokens = prefixes.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).filter("pivot < last")
-    held = stored(prefixes.join(stored(tokens.select("token", "pivot"), "tokens"), "token"), "held")
-    discard(prefixes)
+    prefixes = alone.mapInArrow(_prefixes(level), "token bigint, doc bigint, n int")
+    of_token = Window.partitionBy("token")
+    met = prefixes.select(
+        "*", F.min(F.struct("doc", "n")).over(of_token).alias("pivot"), F.max("doc").over(of_token).alias("last")
+    ).filter("pivot.doc < last")
+    held = stored(met.select("token", "doc", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "held")
 
     # Each document against the pivot that it shares the most prefix tokens with.
-    pivot_sizes = worded.groupBy(F.col("doc").alias("pivot")).agg(F.max("n").alias("pivot_n"))
-    counted = (
-        held.filter("doc > pivot")
-        .groupBy("doc", "pivot", "n")
-        .count()
-        .join(pivot_sizes, "pivot")
-        .filter(_near_in_size("n", "pivot_n"))
-    )
+    counted = held.filter((F.col("doc") > F.col("pivot")) & _near_in_size("n", "pivot_n")).groupBy("doc", "pivot").count()
     best = counted.groupBy("doc").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("b"))
     tried = stored(plausible(best.select(F.col("doc").alias("a"), "b"), worded), "tried")
     links = verified(tried, alone)
 
-    # Then what shares a prefix token and isn't together yet.
+    # Then what shares a prefix token and isn't together yet. Sizes and short marks are compared where rows of a token
+    # meet, so a pair that they tell apart is never written.
     comps = components(links)
-    named = held.join(comps, "doc", "left").select("token", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
-    named = stored(named, "named")
+    named = stored(
+        held.join(small(comps), "doc", "left").select("token", "doc", F.coalesce("comp", "doc").alias("comp")), "named"
+    )
+    discard(held)
     shares = named.groupBy("token", "comp").count()
-    major = stored(
+    major = (
         shares.groupBy("token")
         .agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps"))
         .filter("comps > 1")
-        .drop("comps"),
-        "major",
-    )
-    mixed_tokens = stored(named.join(major, "token"), "mixed")
-    minor = mixed_tokens.filter("comp != major").select(
-        "token", F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp")
+        .drop("comps")
     )
+    marked = worded.select("doc", "n", *brief("marks"))
+    mixed_tokens = stored(named.join(major, "token").join(marked, "doc"), "mixed")
+    discard(named)
+    minor = mixed_tokens.filter("comp != major").drop("major")
+    minor = minor.select("token", *[F.col(c).alias(f"x_{c}") for c in minor.columns if c != "token"])
+    odd = sum((F.bit_count(F.col(f"brief{i}").bitwiseXOR(F.col(f"x_brief{i}"))) for i in range(BRIEF)), F.lit(0))
     pairs = (
-        minor.join(mixed_tokens.select("token", "doc", "n", "comp"), "token")
-        .filter((F.col("x_comp") != F.col("comp")) & _near_in_size("n", "x_n"))
-        .select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b"))
+        minor.join(mixed_tokens.drop("major"), "token")
+        .filter((F.col("x_comp") != F.col("comp")) & _near_in_size("n", "x_n") & _few(odd, "n", "x_n"))
+        .select(F.greatest("x_doc", "doc").alias("a"), F.least("x_doc", "doc").alias("b"))
         .distinct()
     )
-    more = verified(plausible(pairs.join(tried, ["a", "b"], "left_anti"), worded), alone)
+    more = verified(plausible(pairs.join(small(tried), ["a", "b"], "left_anti"), worded), alone)
+    discard(mixed_tokens)
     copies = again.select(F.col("doc").alias("a"), F.col("first").alias("b"))
     whole = components(links.unionByName(more).unionByName(copies))
     return (

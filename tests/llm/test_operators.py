@@ -14,6 +14,7 @@ from labelweave.llm import (
     bpe_count, byte_cnn, class_lm, line_quality, nb_linear, order_join, phrase_index, raking, url_reputation, warc,
 )
 from labelweave.llm.components import components
+from labelweave.llm.counts import pieces_of
 from labelweave.llm.shared import stored
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -349,6 +350,27 @@ def test_near_duplicates(spark):
     assert order_join.linked(df.limit(0)).count() == 0
 
 
+def test_somewhat_common_tokens_come_late(spark):
+    total = np.random.default_rng(1).poisson(20, order_join.CELLS)
+    total[77] = 45  # a token of 25 documents, within chance of the mean load
+    pieces = pieces_of(total).to_pylist()
+    profile = spark.createDataFrame([(1, r["piece"], bytearray(r["counts"])) for r in pieces], "kind int, piece int, counts binary")
+    level = order_join.levels(profile)
+    assert level[77] > np.quantile(level, 0.999)
+
+
+def test_a_group_of_unlike_documents_writes_no_pairs(spark, monkeypatch):
+    passage = [f"shared{i}" for i in range(100)]
+    texts = {i: " ".join(passage + [f"own{i}x{k}" for k in range(18)]) for i in range(1, 61)}
+    texts |= {1000 + i: texts[i] + " tail" for i in range(1, 6)}
+    met = []
+    plausible = order_join.plausible
+    monkeypatch.setattr(order_join, "plausible", lambda pairs, sizes: met.append(pairs.count()) or plausible(pairs, sizes))
+    found = order_join.linked(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_components(texts)[1]
+    assert sum(met) <= 3 * len(texts)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)], "a bigint, b bigint")
     assert {r.doc: r.comp for r in components(links).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
