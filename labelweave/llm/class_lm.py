@@ -29,7 +29,9 @@ END = b"\n"
 #: Added to counts: of a word in its class, and of a transition.
 WORD_ADD, STEP_ADD, BASE_ADD = 0.1, 0.5, 0.1
 #: Bytes of text in a block of documents, on average.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Tokens that a task counts before it hands its counts on; equal words meet again in the sum.
+HELD_TOKENS = 1_000_000
 #: Words remembered by a worker while it maps words to objects.
 REMEMBERED = 400_000
 
@@ -88,7 +90,7 @@ def _word_counts(bounds: np.ndarray):
                     for word in words:
                         counts.setdefault(word, 0)
                 size += len(words)
-            if size > 8_000_000:
+            if size > HELD_TOKENS:
                 yield from rows()
                 size = 0
         yield from rows()

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,19 @@ def test_base_scores_and_counts(docs, empty):
     assert class_lm.score_texts(empty).count() == 0
 
 
+def test_word_counts_leave_a_task_in_bounded_parts():
+    texts = [" ".join(f"w{i % 7}x{k}" for k in range(20_000)) for i in range(70)]
+    schema = {"block": pa.array([0] * 10, pa.int32()), "train": pa.array([True] * 10)}
+    batches = [pa.RecordBatch.from_pydict(schema | {"text": texts[i : i + 10]}) for i in range(0, 70, 10)]
+    parts = list(class_lm._word_counts(np.zeros(0))(iter(batches)))
+    assert len(parts) > 1
+    total = Counter()
+    for part in parts:
+        for word, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            total[word] += n
+    assert total == Counter(w for t in texts for w in t.encode().split() + [b"\n"])
+
+
 def likelihood(pairs, own):
     member = np.eye(own.max() + 1)[own]
     table = member.T @ pairs @ member
