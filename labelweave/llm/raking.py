@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.shared import stored
+from labelweave.llm.shared import small, stored
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 12
@@ -226,6 +226,6 @@ def reached(mixed: DataFrame, budget: float = 0.5, power: float = 0.7) -> DataFr
 
 
 def sampled(docs: DataFrame, topics: DataFrame | None = None, **options) -> DataFrame:
-    """Rows of ``docs`` that the mixture takes."""
+    """Rows of ``docs`` that the mixture takes. Texts stay where they are while the ids taken are few enough to broadcast."""
     taken = mixture(docs, topics, **options).filter("sampled").select("doc_id").distinct()
-    return docs.join(stored(taken, "taken"), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(small(stored(taken, "taken")), "doc_id", "left_semi").select(docs.columns)

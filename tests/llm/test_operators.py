@@ -417,6 +417,16 @@ def test_margins_are_met_either_way(spark):
     assert raking.mixture(df.limit(0), topics).count() == 0
 
 
+def test_few_taken_ids_leave_texts_unshuffled(spark):
+    df = spark.createDataFrame([(i, f"a b {i}", "s", "l") for i in range(40)], "doc_id bigint, text string, source string, lang string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = raking.sampled(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_expected_tokens_meet_margins_under_the_bound(spark):
     rng = np.random.default_rng(4)
     data = []
