@@ -80,20 +80,23 @@ class InvertedLabels:
         at, weights, bound = at[order], weights[order], bound[order]
         rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
         score = np.zeros(len(self.ords))
-        admitted = np.zeros(len(self.ords), bool)
         best, products, j = 0.0, 0, 0
-        while j < len(at) and rest[j] >= best - MARGIN and rest[j] > 0:
-            lo, hi = self.starts[at[j]], self.starts[at[j] + 1]
-            score[self.labels[lo:hi]] += weights[j] * self.weights[lo:hi]
-            admitted[self.labels[lo:hi]] = True
+        begin, end, own, left = self.starts[at].tolist(), self.starts[at + 1].tolist(), weights.tolist(), rest.tolist()
+        while j < len(own) and left[j] >= best - MARGIN and left[j] > 0:
+            lo, hi = begin[j], end[j]
+            mine = self.labels[lo:hi]
+            score[mine] = reached = score[mine] + own[j] * self.weights[lo:hi]
             products += hi - lo
-            best = max(best, float(score[self.labels[lo:hi]].max()))
+            best = max(best, float(reached.max()))
             j += 1
-        for k in range(j, len(at)):
-            lo, hi = self.starts[at[k]], self.starts[at[k] + 1]
-            mine = admitted[self.labels[lo:hi]]
-            score[self.labels[lo:hi][mine]] += weights[k] * self.weights[lo:hi][mine]
-            products += int(mine.sum())
+        admitted = score > 0  # every weight is above 0
+        if j < len(at):  # the remaining lists at once, in the same order
+            lo, size = self.starts[at[j:]], self.starts[at[j:] + 1] - self.starts[at[j:]]
+            place = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+            mine = admitted[self.labels[place]]
+            place = place[mine]
+            np.add.at(score, self.labels[place], np.repeat(weights[j:], size)[mine] * self.weights[place])
+            products += len(place)
         rounded = np.round(score, DECIMALS)
         if not admitted.any() or rounded.max() <= 0:
             return 0, 0.0, products

@@ -1,6 +1,9 @@
 """Sparse cosine by inverted lists against the dense matrix product: equal winners, ties and empty texts included."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 
 from labelweave.operators import sparse
 from labelweave.operators.classify import match_definitions
@@ -44,6 +47,28 @@ def test_pruning_does_fewer_products_than_all_postings(spark):
     assert 0 < done < every
 
 
+def test_lists_behind_the_bound_are_completed_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"ord": range(150), "id": [f"S{i}" for i in range(150)]})
+    rows["vector"] = [rng.integers(0, 300, size=40) for _ in range(150)]
+    index = sparse.InvertedLabels.build(rows)
+    dense = np.zeros((150, 300))
+    for i, vector in enumerate(rows["vector"]):
+        terms, weights = sparse.unit_terms(vector)
+        dense[i, terms] = weights
+    adds = []
+    add = np.add
+    counting = SimpleNamespace(at=lambda *a: adds.append(len(a[1])) or add.at(*a))
+    monkeypatch.setattr(np, "add", counting)
+    for i in range(100):
+        item = np.concatenate((rows["vector"][i], rng.integers(0, 300, size=30)))
+        terms, weights = sparse.unit_terms(item)
+        score = np.round(dense[:, terms] @ weights, 9)
+        winner, confidence, _ = index.best(item)
+        assert (winner, confidence) == (int(score.argmax()), float(score.max()))
+    assert adds and len(adds) <= 100 and sum(adds) > 0
+
+
 def test_no_labels(spark):
     items, labels = frames(spark, np.random.default_rng(1))
     got = sparse.sparse_matches(items, labels.limit(0)).collect()
