@@ -2,15 +2,16 @@
 
 If two sets are similar enough, their prefixes share a token, whatever the order that all sets are sorted by. The first
 order puts common tokens last, so that a prefix holds the rarest tokens; it finds the candidates. Candidates must then
-share a prefix token under each of the other orders too, and only what passes all filters is verified. Parity marks,
-folded short where rows of a token meet, tell apart sets that differ by too many tokens before a pair is written or a set
-moves. Sets that are equal are one set from the start, and documents that a verified link has brought together aren't
-compared again, so the pairs of a group of copies are never listed.
+share a prefix token under each of the other orders too, and only what passes all filters is verified. Parity marks tell
+apart sets that differ by too many tokens before a pair is written or a set moves. Short marks can't do that for large
+sets, so large sets are cut into parts by bits of the tokens: if two sets are similar, so are their parts of some number,
+since the ratio of sums is no more than the largest ratio. Prefixes, sizes and short marks are then those of parts. Sets
+that are equal are one set from the start, and documents that a verified link has brought together aren't compared again,
+so the pairs of a group of copies are never listed.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,35 @@ def prefix(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return tokens[np.argpartition(rank, p - 1)[:p]] if p < len(tokens) else tokens
 
 
+#: Tokens of a part, on average, at most; the next depth has four times the parts.
+PART = 384
+
+
+def depths(n: int) -> list[int]:
+    """Depths that a set of ``n`` is cut at: its own, and the next if similar sets may be cut at that."""
+    own = 0
+    while n > PART << 2 * own:
+        own += 1
+    return [own, own + 1] if 100 * n > PERCENT * PART << 2 * own else [own]
+
+
+def parts(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """The part of each token, of 4 ** ``depth`` parts; numbers differ between depths."""
+    cut = (tokens >> np.uint64(20)) & np.uint64((1 << 2 * depth) - 1)
+    return cut.astype(np.int32) + np.int32(depth << 24)
+
+
+def part_prefixes(tokens: np.ndarray, rank: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the smallest ranks of each part, with the part's number and size. Equal tokens differ between depths."""
+    part = parts(tokens, depth)
+    order = np.lexsort((rank, part))
+    names, start, size = np.unique(part[order], return_index=True, return_counts=True)
+    length = np.array([prefix_length(n) for n in size.tolist()])
+    row = np.repeat(np.arange(len(names)), length)
+    at = order[np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + start[row]]
+    return tokens[at] ^ mixed(np.full(1, depth, np.uint64)), names[row], size[row].astype(np.int32)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Filters under the further orders, then the exact condition, over two sorted sets."""
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
@@ -82,7 +112,18 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 #: Bits of a set's parity marks: a power of two, at least 64.
 BITS = 2048
-PROFILE = "kind int, doc bigint, n int, sig_a bigint, sig_b bigint, marks array<bigint>, piece int, counts binary"
+#: Numbers of 64 bits in the short marks of a part.
+BRIEF = 4
+BRIEFS = [f"brief{i}" for i in range(BRIEF)]
+PROFILE = (
+    "kind int, doc bigint, n int, sig_a bigint, sig_b bigint, marks array<bigint>, part int, "
+    + "".join(f"{name} bigint, " for name in BRIEFS) + "piece int, counts binary"
+)
+_PROFILE = pa.schema(
+    [("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("sig_a", pa.int64()), ("sig_b", pa.int64()),
+     ("marks", pa.list_(pa.int64())), ("part", pa.int32()), *[(name, pa.int64()) for name in BRIEFS],
+     ("piece", pa.int32()), ("counts", pa.binary())]
+)
 
 
 def parity_marks(tokens: np.ndarray) -> np.ndarray:
@@ -91,45 +132,53 @@ def parity_marks(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(hits.astype(np.uint8)).view(np.int64)
 
 
+def part_marks(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, size and short parity marks of each part of a set, at all its depths."""
+    found = []
+    for depth in depths(len(tokens)):
+        names, own, size = np.unique(parts(tokens, depth), return_inverse=True, return_counts=True)
+        bits = own * (64 * BRIEF) + (tokens >> np.uint64(64 - (64 * BRIEF).bit_length() + 1)).astype(np.int64)
+        hits = np.bincount(bits, minlength=len(names) * 64 * BRIEF) & 1
+        found.append((names, size, np.packbits(hits.astype(np.uint8)).view(np.int64).reshape(-1, BRIEF)))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _profile_rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(size, kind)
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _PROFILE]
+    return pa.RecordBatch.from_arrays(arrays, schema=_PROFILE)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document with size and fingerprint of its set; at the end of a task, its token counts in pieces."""
-    schema = pa.schema(
-        [("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("sig_a", pa.int64()), ("sig_b", pa.int64()),
-         ("marks", pa.list_(pa.int64())), ("piece", pa.int32()), ("counts", pa.binary())]
-    )
+    """A row per document with size and fingerprint of its set (kind 0), a row per part of it (kind 2); at the end of a
+    task, its token counts in pieces (kind 1)."""
     total = np.zeros(CELLS, np.int32)
     for batch in batches:
-        size, sums, marks = [], [], []
-        for text in batch.column(1):
+        size, sums, marks, docs, cut = [], [], [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             tokens = shingles(text.as_py())
             size.append(len(tokens))
             marks.append(parity_marks(tokens))
             sums.append((tokens.sum(dtype=np.uint64), mixed(tokens ^ np.uint64(ORDERS[0])).sum(dtype=np.uint64)))
             np.add.at(total, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
+            if doc is not None and len(tokens):
+                cut.append(part_marks(tokens))
+                docs.append(np.full(len(cut[-1][0]), doc, np.int64))
         sums = _signed(np.array(sums, np.uint64).reshape(-1, 2))
         n = batch.num_rows
-        nothing = pa.nulls(n)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(size, pa.int32()),
-                pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()),
-                pa.ListArray.from_arrays(
-                    pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)),
-                    pa.array(np.concatenate(marks) if marks else np.empty(0, np.int64)),
-                ),
-                nothing.cast(pa.int32()), nothing.cast(pa.binary()),
-            ],
-            schema=schema,
+        every = pa.ListArray.from_arrays(
+            pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)),
+            pa.array(np.concatenate(marks) if marks else np.empty(0, np.int64)),
         )
+        yield _profile_rows(
+            0, n, doc=batch.column(0).cast(pa.int64()), n=size, sig_a=sums[:, 0].copy(), sig_b=sums[:, 1].copy(), marks=every
+        )
+        if cut:
+            part, n_part, short = map(np.concatenate, zip(*cut))
+            short = {name: short[:, i].copy() for i, name in enumerate(BRIEFS)}
+            yield _profile_rows(2, len(part), doc=np.concatenate(docs), n=n_part, part=part, **short)
     pieces = pieces_of(total)
-    nothing = pa.nulls(pieces.num_rows)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.ones(pieces.num_rows, np.int32)), nothing.cast(pa.int64()), nothing.cast(pa.int32()),
-            nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.list_(pa.int64())), *pieces.columns,
-        ],
-        schema=schema,
-    )
+    yield _profile_rows(1, pieces.num_rows, piece=pieces.column(0), counts=pieces.column(1))
 
 
 def levels(profile: DataFrame) -> np.ndarray:
@@ -151,20 +200,21 @@ def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            tokens, docs, sizes = [], [], []
+            found, docs = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = shingles(text.as_py())
                 if not len(own):
                     continue
                 common = level[(own & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
-                first = prefix(own, (common << np.uint64(48)) | (own >> np.uint64(16)))
-                tokens.append(first)
-                docs.append(np.full(len(first), doc, np.int64))
-                sizes.append(np.full(len(first), len(own), np.int32))
-            if tokens:
+                rank = (common << np.uint64(48)) | (own >> np.uint64(16))
+                for depth in depths(len(own)):
+                    found.append(part_prefixes(own, rank, depth))
+                    docs.append(np.full(len(found[-1][0]), doc, np.int64))
+            if found:
+                tokens, part, size = map(np.concatenate, zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))],
-                    names=["token", "doc", "n"],
+                    [pa.array(_signed(tokens)), pa.array(np.concatenate(docs)), pa.array(part), pa.array(size)],
+                    names=["token", "doc", "part", "n"],
                 )
 
     return run
@@ -224,16 +274,6 @@ def _few(odd: Column, one: str, other: str) -> Column:
     return (100 + PERCENT) * odd <= (100 - PERCENT) * (F.col(one) + F.col(other))
 
 
-#: Numbers of 64 bits in short marks.
-BRIEF = 4
-
-
-def brief(marks: str) -> list[Column]:
-    """Parity marks folded to ``BRIEF`` columns: the sum of two cells is odd if just one of them is."""
-    parts = [[F.col(marks)[i] for i in range(j, BITS // 64, BRIEF)] for j in range(BRIEF)]
-    return [functools.reduce(Column.bitwiseXOR, part).alias(f"brief{j}") for j, part in enumerate(parts)]
-
-
 def plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (a, b) that may be similar by the marks of ``sizes`` (doc, n, marks): similar sets differ by so few tokens."""
     own = lambda side: sizes.select(
@@ -268,12 +308,12 @@ def linked(docs: DataFrame) -> DataFrame:
     level = spark.sparkContext.broadcast(levels(profile))
     gone = small(stored(again.select("doc").join(repeated, "doc", "left_anti"), "gone"))
     alone = texts.filter("doc is not null").join(gone, "doc", "left_anti")
-    prefixes = alone.mapInArrow(_prefixes(level), "token bigint, doc bigint, n int")
+    prefixes = alone.mapInArrow(_prefixes(level), "token bigint, doc bigint, part int, n int")
     of_token = Window.partitionBy("token")
     met = prefixes.select(
         "*", F.min(F.struct("doc", "n")).over(of_token).alias("pivot"), F.max("doc").over(of_token).alias("last")
     ).filter("pivot.doc < last")
-    held = stored(met.select("token", "doc", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "held")
+    held = stored(met.select("token", "doc", "part", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "held")
 
     # Each document against the pivot that it shares the most prefix tokens with.
     counted = held.filter((F.col("doc") > F.col("pivot")) & _near_in_size("n", "pivot_n")).groupBy("doc", "pivot").count()
@@ -281,11 +321,12 @@ def linked(docs: DataFrame) -> DataFrame:
     tried = stored(plausible(best.select(F.col("doc").alias("a"), "b"), worded), "tried")
     links = verified(tried, alone)
 
-    # Then what shares a prefix token and isn't together yet. Sizes and short marks are compared where rows of a token
-    # meet, so a pair that they tell apart is never written.
+    # Then what shares a prefix token and isn't together yet. Sizes and short marks of the parts are compared where rows
+    # of a token meet, so a pair that they tell apart is never written.
     comps = components(links)
     named = stored(
-        held.join(small(comps), "doc", "left").select("token", "doc", F.coalesce("comp", "doc").alias("comp")), "named"
+        held.join(small(comps), "doc", "left").select("token", "doc", "part", F.coalesce("comp", "doc").alias("comp")),
+        "named",
     )
     discard(held)
     shares = named.groupBy("token", "comp").count()
@@ -295,12 +336,12 @@ def linked(docs: DataFrame) -> DataFrame:
         .filter("comps > 1")
         .drop("comps")
     )
-    marked = worded.select("doc", "n", *brief("marks"))
-    mixed_tokens = stored(named.join(major, "token").join(marked, "doc"), "mixed")
+    marked = profile.filter("kind = 2").select("doc", "part", "n", *BRIEFS)
+    mixed_tokens = stored(named.join(major, "token").join(marked, ["doc", "part"]).drop("part"), "mixed")
     discard(named)
     minor = mixed_tokens.filter("comp != major").drop("major")
     minor = minor.select("token", *[F.col(c).alias(f"x_{c}") for c in minor.columns if c != "token"])
-    odd = sum((F.bit_count(F.col(f"brief{i}").bitwiseXOR(F.col(f"x_brief{i}"))) for i in range(BRIEF)), F.lit(0))
+    odd = sum((F.bit_count(F.col(name).bitwiseXOR(F.col(f"x_{name}"))) for name in BRIEFS), F.lit(0))
     pairs = (
         minor.join(mixed_tokens.drop("major"), "token")
         .filter((F.col("x_comp") != F.col("comp")) & _near_in_size("n", "x_n") & _few(odd, "n", "x_n"))

@@ -385,6 +385,41 @@ def test_a_group_of_unlike_documents_writes_no_pairs(spark, monkeypatch):
     assert sum(met) <= 3 * len(texts)
 
 
+def test_large_unlike_documents_write_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"p{i}w{k}" for k in range(300)) for i in range(12)]
+    texts = {i: " ".join(passages[p] for p in rng.choice(12, 5, replace=False)) for i in range(1, 61)}
+    for i, size in enumerate((310, 380, 386, 470, 1230, 1500, 1533, 1545, 1840)):  # near the sizes where depths change
+        words = [f"s{i}w{k}" for k in range(size + 4)]
+        texts[2000 + 10 * i] = " ".join(words)
+        texts[2001 + 10 * i] = " ".join(words + [f"t{i}w{k}" for k in range(size // 4)])  # 80 percent exactly or a little more
+        texts[2002 + 10 * i] = " ".join(words + [f"u{i}w{k}" for k in range(size // 4 + 1)])  # a little less
+    met = []
+    plausible = order_join.plausible
+    monkeypatch.setattr(order_join, "plausible", lambda pairs, sizes: met.append(pairs.count()) or plausible(pairs, sizes))
+    found = order_join.linked(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    label = brute_components(texts)[1]
+    assert {r.doc_id: r.component_id for r in found} == label
+    assert label[2001] == 2000 and label[2002] == 2002
+    assert sum(met) <= 2 * len(texts), met
+
+
+def test_parts_keep_marks_and_prefixes_of_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 300, 384, 385, 1537, 7000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a, rng.integers(0, 2**64, n // 4, dtype=np.uint64))))
+        for x, y in ((a, b), (a, a[len(a) // 5 :])):
+            if not order_join.similar(x, y):
+                continue
+            both = [{(t, p): s for t, p, s in zip(*map(np.ndarray.tolist, order_join.part_prefixes(v, v, d)))}
+                    for v in (x, y) for d in order_join.depths(len(v))]
+            met = [set(p) & set(q) for p in both[: len(order_join.depths(len(x)))] for q in both[len(order_join.depths(len(x))) :]]
+            marks = [{p: (n, m) for p, n, m in zip(c[0].tolist(), c[1].tolist(), c[2])} for c in map(order_join.part_marks, (x, y))]
+            odd = lambda p: sum(int(i).bit_count() for i in (marks[0][p][1] ^ marks[1][p][1]).view(np.uint64))
+            assert any(180 * odd(p) <= 20 * (marks[0][p][0] + marks[1][p][0]) for shared in met for _, p in shared)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)], "a bigint, b bigint")
     assert {r.doc: r.comp for r in components(links).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
