@@ -10,7 +10,8 @@ a cell whose bound equals the k-th best is still visited, and the smaller ``ord`
 Pivots are a bounded sample (the references of smallest salted hash of ``ord``, ``max_pivots`` of them at most);
 every reference is indexed. A cell larger than ``block_rows`` is cut into blocks by a hash of ``ord``, and the items
 sent to one block are cut into parts of at most ``part_rows``, so a cell that holds most references, or draws most
-items, is many tasks.
+items, is many tasks. Items meet the pivots a few rows at a time, and their copies leave a task in batches of
+``copy_bytes`` of vectors, so a task's memory does not depend on the rows of its batches or on how many cells items reach.
 """
 
 from __future__ import annotations
@@ -23,7 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.operators.scoring import DECIMALS, MATCHES, _as_matches, _empty_matches, _sorted, best_columns, dimensions
+from labelweave.operators.scoring import (
+    CELLS,
+    DECIMALS,
+    MATCHES,
+    _as_matches,
+    _empty_matches,
+    _sorted,
+    best_columns,
+    dimensions,
+)
 from labelweave.operators.vectors import to_matrix, to_unit
 from labelweave.session import materialise
 
@@ -33,12 +43,14 @@ MARGIN = 1e-7
 
 @dataclass(frozen=True)
 class IndexLimits:
-    """References per pivot aimed at, pivots at most, rows of a reference block and of an item part."""
+    """References per pivot aimed at, pivots at most, rows of a reference block and of an item part, and bytes of vectors
+    in a batch of item copies."""
 
     cell_rows: int = 256
     max_pivots: int = 4096
     block_rows: int = 16_384
     part_rows: int = 16_384
+    copy_bytes: int = 4 << 20
 
 
 def _unit(vectors, dims: int) -> np.ndarray:
@@ -59,10 +71,37 @@ def _pivot_matrix(references: DataFrame, n_pivots: int, dims: int) -> np.ndarray
     return _unit(sample["vector"], dims)
 
 
+def _slices(batch: pa.RecordBatch, n_pivots: int):
+    """The rows of a batch in slices whose matrix of rows x pivots has ``CELLS // 4`` cells at most: several such matrices
+    are held at once."""
+    step = max(1, CELLS // 4 // max(1, n_pivots))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
+def _copies(batches, item_id: str, pivots: np.ndarray, radius: np.ndarray, dims: int, copies: int):
+    """``(item_id, vector, cell)`` for each cell but the nearest whose bound reaches the item's ``kth``, ``copies`` rows a
+    batch at most."""
+    for batch in batches:
+        for part in _slices(batch, len(pivots)):
+            bound, nearest = _bounds(_unit(part.column("vector"), dims), pivots, radius)
+            kth = part.column("kth").to_numpy(zero_copy_only=False)
+            reach = bound >= (kth[:, None] - MARGIN)
+            reach[np.arange(len(nearest)), nearest] = False
+            rows, cells = np.nonzero(reach)
+            for start in range(0, len(rows), copies):
+                row, cell = rows[start : start + copies], cells[start : start + copies]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(item_id).take(pa.array(row)), part.column("vector").take(pa.array(row)),
+                     pa.array(cell.astype(np.int32))],
+                    [item_id, "vector", "cell"],
+                )
+
+
 class MetricIndex:
     """References with their cell and block, the pivots, and each cell's radius and number of blocks."""
 
@@ -80,10 +119,11 @@ class MetricIndex:
 
         def assign(batches):
             for batch in batches:
-                cos = _unit(batch.column("vector"), dims) @ shared.value.T
-                cell = cos.argmax(axis=1) if len(batch) else np.zeros(0, dtype=np.int64)
-                near = cos[np.arange(len(batch)), cell] if len(batch) else np.zeros(0)
-                yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("cosp", pa.array(near))
+                for part in _slices(batch, len(shared.value)):
+                    cos = _unit(part.column("vector"), dims) @ shared.value.T
+                    cell = cos.argmax(axis=1)
+                    near = cos[np.arange(len(part)), cell]
+                    yield part.append_column("cell", pa.array(cell.astype(np.int32))).append_column("cosp", pa.array(near))
 
         placed = references.mapInArrow(assign, "ord long, id string, vector " + references.schema["vector"].dataType.simpleString() + ", cell int, cosp double")
         stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cosp").alias("cosp")).collect()
@@ -147,16 +187,18 @@ class MetricIndex:
         if self.n_refs == 0:
             return items.select(item_id, F.array().cast(MATCHES).alias("matches"))
         pivots, radius = self.pivots, self.radius
+        copies = max(1, self.limits.copy_bytes // (8 * max(1, dims)))
         vtype = items.schema["vector"].dataType.simpleString()
         ktype = items.schema[item_id].dataType.simpleString()
 
         def home(batches):
             for batch in batches:
-                _, nearest = _bounds(_unit(batch.column("vector"), dims), pivots, radius)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(item_id), batch.column("vector"), pa.array(nearest.astype(np.int32))],
-                    [item_id, "vector", "cell"],
-                )
+                for part in _slices(batch, len(pivots)):
+                    _, nearest = _bounds(_unit(part.column("vector"), dims), pivots, radius)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(item_id), part.column("vector"), pa.array(nearest.astype(np.int32))],
+                        [item_id, "vector", "cell"],
+                    )
 
         first = materialise(_merged(self._visit(items.mapInArrow(home, f"{item_id} {ktype}, vector {vtype}, cell int"), k, item_id), k, item_id))
         kth = first.select(
@@ -165,19 +207,7 @@ class MetricIndex:
         )
 
         def further(batches):
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                bound, nearest = _bounds(_unit(batch.column("vector"), dims), pivots, radius)
-                kth = batch.column("kth").to_numpy(zero_copy_only=False)
-                reach = bound >= (kth[:, None] - MARGIN)
-                reach[np.arange(len(nearest)), nearest] = False
-                row, cell = np.nonzero(reach)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(item_id).take(pa.array(row)), batch.column("vector").take(pa.array(row)),
-                     pa.array(cell.astype(np.int32))],
-                    [item_id, "vector", "cell"],
-                )
+            return _copies(batches, item_id, pivots, radius, dims, copies)
 
         rest = items.join(kth, item_id).mapInArrow(further, f"{item_id} {ktype}, vector {vtype}, cell int")
         found = self._visit(rest, k, item_id).unionByName(first)

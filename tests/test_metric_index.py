@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
+from labelweave.operators import metric_index
 from labelweave.operators.metric_index import IndexLimits, MetricIndex, indexed_matches
 from labelweave.operators.scoring import Limits, top_references
 
@@ -54,6 +56,25 @@ def test_index_sends_few_copies_on_clustered_vectors(spark):
     assert sum(index.sent) < exhaustive / 3, (index.sent, exhaustive, blocks)
 
 
+def test_items_that_reach_all_cells_leave_in_small_batches(monkeypatch):
+    rng = np.random.default_rng(4)
+    pivots = rng.standard_normal((200, 8))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    vectors = rng.standard_normal((6000, 8))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6000), pa.int64()), pa.array(vectors.tolist()), pa.array(np.full(6000, -np.inf))], ["q", "vector", "kth"]
+    )
+    cells, bounds = [], metric_index._bounds
+    monkeypatch.setattr(metric_index, "_bounds", lambda unit, *a: cells.append(len(unit) * 200) or bounds(unit, *a))
+    sizes, seen = [], np.zeros((6000, 200), np.int64)
+    for out in metric_index._copies([batch], "q", pivots, np.full(200, math.pi), 8, 5000):
+        sizes.append(out.num_rows)
+        np.add.at(seen, (out.column("q").to_numpy(), out.column("cell").to_numpy()), 1)
+    assert max(sizes) <= 5000 and max(cells) <= 1_000_000
+    assert seen.max() == 1 and (seen.sum(axis=1) == 199).all()
+    assert (seen[np.arange(6000), (vectors @ pivots.T).argmax(axis=1)] == 0).all()
+
+
 def test_index_of_no_references(spark):
     references, queries = frames(spark)
     got = indexed_matches(queries, references.limit(0), 3).collect()
