@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm.components import components
 from labelweave.llm.counts import collected, pieces_of
-from labelweave.llm.shared import discard, small, stored
+from labelweave.llm.shared import arrow_rows, discard, small, stored
 
 #: Percent of the union that the intersection holds at least, and words of a shingle.
 PERCENT, SHINGLE = 80, 5
@@ -196,11 +196,22 @@ def levels(profile: DataFrame) -> np.ndarray:
     return (4096 + np.where(near <= 64, np.maximum(near, -4096), far)).astype(np.uint16)
 
 
+#: Prefix tokens in a batch, unless one set has more; texts that a task hands to Python at a time.
+HELD_TOKENS, BATCH_ROWS = 1 << 17, 500
+
+
 def _prefixes(shared):
+    def rows(found: list[tuple], docs: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, part, size = map(np.concatenate, zip(*found))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(_signed(tokens)), pa.array(np.concatenate(docs)), pa.array(part), pa.array(size)],
+            names=["token", "doc", "part", "n"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            found, docs = [], []
+            found, docs, held = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = shingles(text.as_py())
                 if not len(own):
@@ -210,12 +221,12 @@ def _prefixes(shared):
                 for depth in depths(len(own)):
                     found.append(part_prefixes(own, rank, depth))
                     docs.append(np.full(len(found[-1][0]), doc, np.int64))
+                    held += len(docs[-1])
+                if held >= HELD_TOKENS:
+                    yield rows(found, docs)
+                    found, docs, held = [], [], 0
             if found:
-                tokens, part, size = map(np.concatenate, zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(tokens)), pa.array(np.concatenate(docs)), pa.array(part), pa.array(size)],
-                    names=["token", "doc", "part", "n"],
-                )
+                yield rows(found, docs)
 
     return run
 
@@ -294,6 +305,11 @@ def linked(docs: DataFrame) -> DataFrame:
     document if their texts agree, else every text links that document. A null id has no component and links nothing.
     Shingles are compared by 64-bit hashes. Other columns are ignored.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _linked(docs)
+
+
+def _linked(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     profile = stored(texts.mapInArrow(_profile, PROFILE), "profile")

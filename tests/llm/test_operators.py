@@ -16,7 +16,7 @@ from labelweave.llm import (
 )
 from labelweave.llm.components import components
 from labelweave.llm.counts import pieces_of
-from labelweave.llm.shared import stored
+from labelweave.llm.shared import arrow_rows, stored
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ENGLISH = "the cat sat on the mat and the dog ran to the park with a red ball that it had found."
@@ -373,6 +373,27 @@ def test_somewhat_common_tokens_come_late(spark):
     assert level[77] > np.quantile(level, 0.999)
 
 
+def test_prefixes_leave_in_bounded_batches_and_texts_come_in_few_at_a_time(spark, monkeypatch):
+    class Level:
+        value = np.zeros(order_join.CELLS, np.uint16)
+
+    texts = [" ".join(f"d{i}w{k}" for k in range(1_000)) for i in range(1_500)]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    made = list(order_join._prefixes(Level)(iter([batch])))
+    assert len(made) > 1 and max(b.num_rows for b in made) < order_join.HELD_TOKENS + 2 * 1_000
+    assert sorted(set(d for b in made for d in b.column(1).to_pylist())) == list(range(len(texts)))
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, inner = [], order_join._linked
+    monkeypatch.setattr(order_join, "_linked", lambda docs: seen.append(spark.conf.get(key)) or inner(docs))
+    before = spark.conf.get(key)
+    order_join.linked(spark.createDataFrame(rows(TEXTS), SCHEMA))
+    assert seen == [str(order_join.BATCH_ROWS)] and spark.conf.get(key) == before
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+    with arrow_rows(spark, 300):
+        assert max(r.n for r in spark.range(2_000).mapInArrow(sizes, "n bigint").collect()) <= 300
+
+
 def test_a_group_of_unlike_documents_writes_no_pairs(spark, monkeypatch):
     passage = [f"shared{i}" for i in range(100)]
     texts = {i: " ".join(passage + [f"own{i}x{k}" for k in range(18)]) for i in range(1, 61)}
