@@ -183,6 +183,98 @@ def test_exchange_climbs_to_a_local_optimum():
     assert own[-1] == 3 and (own[:-1] < 3).all()
 
 
+def test_best_class_of_a_word_is_that_of_the_largest_likelihood():
+    rng = np.random.default_rng(1)
+    n, end = 60, class_lm.CLASSES
+    pairs = rng.integers(0, 4, (n, n)).astype(float)
+    own = np.append(rng.integers(0, end, n - 1), end)
+    member, word = np.eye(end + 1)[own], np.arange(n - 1)
+    right, left, same = pairs[word] @ member, pairs[:, word].T @ member, pairs[word, word]
+    right[word, own[word]] -= same
+    left[word, own[word]] -= same
+    best = class_lm.best_classes(member.T @ pairs @ member, own[word], right, left, same)
+    assert (best != own[word]).any()
+    for w in word:
+        every = []
+        for c in range(end):
+            other = own.copy()
+            other[w] = c
+            every.append(likelihood(pairs, other))
+        assert every[best[w]] == pytest.approx(max(every), abs=1e-5)
+
+
+def test_words_of_one_bin_take_classes_of_their_own(spark):
+    """The whole model, counted by word; words of the tail end alike, so all of them are one object of the first exchange."""
+    rng = np.random.default_rng(2)
+    tail = [f"t{i}ing" for i in range(60)]
+    texts = {}
+    for i in range(60):  # even and odd words take turns; six words of the tail are used like odd ones
+        odd = [f"f{k * 2 + 1}" for k in rng.permutation(400)] + tail[:6]
+        texts[i] = " ".join(f"f{a * 2} {odd[k]}" for a, k in zip(rng.permutation(400), rng.permutation(406)))
+    for i in range(60, 140):
+        texts[i] = " ".join(f"f0 {w} {f'{w} ' if i % 5 == 0 else ''}f2" for w in rng.choice(tail[6:], 8))
+    df = spark.createDataFrame(rows(texts), SCHEMA).repartition(7)
+    learns = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    tokens = {i: texts[i].encode().split() + [class_lm.END] for i in texts}
+    counts = Counter(w for i in learns for w in tokens[i])
+    core = sorted(set(counts) - {class_lm.END}, key=lambda w: (-counts[w], w))[: class_lm.CORE]
+    names = [class_lm.END, *sorted(set(counts) - {class_lm.END})]
+    number = {w: k for k, w in enumerate(names)}
+    by_word = np.zeros((len(names), len(names)))
+    for i in learns:
+        for a, b in zip([class_lm.END, *tokens[i]], tokens[i]):
+            by_word[number[a], number[b]] += 1
+    objects = np.eye(class_lm.OBJECTS)[class_lm._objects(core, names)]
+    start = class_lm.exchange(objects.T @ by_word @ objects)
+    own = start[class_lm._objects(core, names)]
+    member = np.eye(class_lm.CLASSES + 1)[own]
+    rest = np.array([k for k, w in enumerate(names) if w not in core and w != class_lm.END])
+    same = by_word[rest, rest]
+    right, left = by_word[rest] @ member, by_word[:, rest].T @ member
+    right[np.arange(len(rest)), own[rest]] -= same
+    left[np.arange(len(rest)), own[rest]] -= same
+    learned = [number[w.encode()] for w in tail if w.encode() in number and w.encode() not in core]
+    assert set(learned) <= set(rest.tolist()) and same.any() and len(set(own[learned].tolist())) == 1
+    own[rest] = class_lm.best_classes(member.T @ by_word @ member, own[rest], right, left, same)
+    assert len(set(own[learned].tolist())) > 1
+    member = np.eye(class_lm.CLASSES + 1)[own]
+    pairs = member.T @ by_word @ member
+    steps = np.log10((pairs + 0.5) / (pairs + 0.5).sum(axis=1, keepdims=True))
+    mass = pairs.sum(axis=0) + 0.1 * (member.sum(axis=0) + 1)
+    model = dict(zip(names, own.tolist()))
+    unknown = lambda w: start[class_lm._objects(core, [w])[0]]
+    for row in class_lm.score_texts(df).collect():
+        want, before = 0.0, class_lm.CLASSES
+        for w in tokens[row.doc_id]:
+            c = model[w] if w in model else unknown(w)
+            want += steps[before, c] + (0 if w == class_lm.END else np.log10((counts[w] + 0.1) / mass[c]))
+            before = c
+        assert row.score == pytest.approx(want, abs=1e-6)
+
+
+def test_rows_of_a_word_meet_across_batches_and_chunks():
+    often = class_lm.OFTEN * 2 + 5
+    chunks = [
+        {"chunk": i, "held_out": [False, True], "size": [2 * often + 1, 2], "word": [b"core", b"tail", class_lm.END],
+         "n": [often, often, 1], "slots": class_lm._packed(np.array([0, 1] * often + [2, 1, 2], np.int32))}
+        for i in range(5)
+    ]
+    batch = pa.RecordBatch.from_pylist(chunks)
+    own = np.zeros(class_lm.OBJECTS, np.int64)
+    own[-1] = class_lm.CLASSES
+    found = pa.Table.from_batches(class_lm._contexts([b"core"], own)(iter([batch]))).sort_by("word")
+    table = np.zeros((class_lm.CLASSES + 1,) * 2)
+    table[0, 0], table[-1, 0], table[0, -1] = 5 * (2 * often - 1), 5, 5
+    counted = [(w, n) for w, n in ((b"core", 5 * often), (b"tail", 5 * often), (class_lm.END, 5)) for _ in range(5)]
+    for rows_at_once in (1, 2, 4, 100):
+        done = list(class_lm._numbered([b"core"], own, table)(iter(found.to_batches(max_chunksize=rows_at_once))))
+        done = pa.Table.from_batches(done).to_pylist()
+        words = [chunks[0]["word"][r["slot"]] for r in done]
+        assert sorted((w, r["c"]) for w, r in zip(words, done)) == sorted(counted)
+        assert {w: r["class"] for w, r in zip(words, done)} == {b"core": 0, b"tail": 1, class_lm.END: class_lm.CLASSES}
+        assert sorted(w for w, r in zip(words, done) if r["lead"]) == [b"core", b"tail"]
+
+
 # URLs
 
 
