@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +51,13 @@ class NaiveBayesLinear:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: pd.Series) -> np.ndarray:
-        sums = np.zeros(len(texts))
-        for i, text in enumerate(texts):
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        def total(text: str | None) -> float:
             codes = grams(text)
             present = np.unique(codes[self.weights[codes] != 0])
-            sums[i] = self.weights[present].sum(dtype=np.float64)
+            return self.weights[present].sum(dtype=np.float64)
+
+        sums = np.fromiter(map(total, texts), np.float64)
         return 1 / (1 + np.exp(-np.clip(sums + self.bias, -30, 30)))
 
 
@@ -179,14 +181,15 @@ def train(
 
 
 def toxicity(text: Column, model: NaiveBayesLinear) -> Column:
-    """Score column, 0 to 1."""
+    """Score column, 0 to 1. Texts of an Arrow batch become Python strings one at a time, so a worker never holds a
+    batch of them a second time."""
     shared = plain_broadcast(SparkSession.active(), model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = rebuilt(NaiveBayesLinear, shared.value)
         for texts in batches:
-            yield pd.Series(found.scores(texts))
+            yield pa.array(found.scores(text.as_py() for text in texts))
 
     return score(text)
 

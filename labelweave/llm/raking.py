@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,13 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEE
     return now
 
 
+def fitted_cells(cells: DataFrame, rows: pd.DataFrame, name: str, values: np.ndarray) -> DataFrame:
+    """Margins of ``rows`` and a column of numbers, as an Arrow table: a list of rows would go through an RDD, for which
+    every executor starts Python workers of another kind that stay in its memory."""
+    columns = {m: pa.array([str(v) for v in rows[m]], pa.string()) for m in MARGINS}
+    return cells.sparkSession.createDataFrame(pa.table({**columns, name: pa.array(values, pa.float64())}))
+
+
 def raked_here(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """As ``raked``, in numpy, for no more than ``LOCAL_CELLS`` cells."""
     rows = cells.select(*MARGINS, "tokens").toPandas().sort_values(list(MARGINS)).reset_index(drop=True)
@@ -65,10 +74,7 @@ def raked_here(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int =
         for number, wanted in margins:
             mass = np.bincount(number, weights=tokens * weight, minlength=len(wanted)).astype(float)
             weight *= np.divide(wanted, mass, out=np.zeros_like(mass), where=mass > 0)[number]
-    return cells.sparkSession.createDataFrame(
-        [(*(str(v) for v in row), float(w)) for row, w in zip(rows[list(MARGINS)].itertuples(index=False), weight)],
-        ", ".join(f"{m} string" for m in MARGINS) + ", weight double",
-    )
+    return fitted_cells(cells, rows, "weight", weight)
 
 
 def reachable(cells: DataFrame, targets: Mapping[str, DataFrame], mass: float) -> dict[str, DataFrame]:
@@ -144,10 +150,7 @@ def bounded_here(cells: DataFrame, wanted: Mapping[str, DataFrame], sweeps: int
             break
         fixed |= above
         p[fixed] = 1.0
-    return cells.sparkSession.createDataFrame(
-        [(*(str(v) for v in row), float(w)) for row, w in zip(rows[list(MARGINS)].itertuples(index=False), np.minimum(p, 1.0))],
-        ", ".join(f"{m} string" for m in MARGINS) + ", probability double",
-    )
+    return fitted_cells(cells, rows, "probability", np.minimum(p, 1.0))
 
 
 def uniform(key: Column, seed: str) -> Column:

@@ -655,3 +655,28 @@ def test_languages_beyond_the_bound_teach_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     found = {r.lang_pred for r in byte_cnn.identify(docs).collect()}
     assert found <= {"en", "de"}
+
+
+def test_fitted_cells_start_no_python_workers(spark):
+    """Weights fitted on the driver come back as an Arrow table, not by an RDD of pickled rows."""
+    docs = spark.createDataFrame(
+        [(i, "a b c", f"s{i % 3}", "en") for i in range(9)], "doc_id bigint, text string, source string, lang string"
+    )
+    cells = docs.groupBy("source", "lang").agg(F.count("*").alias("tokens")).withColumn("topic", F.lit("none"))
+    targets = {m: raking.tempered(cells, m, 0.7) for m in raking.MARGINS}
+    for found in (raking.raked_here(cells, targets), raking.bounded_here(cells, raking.reachable(cells, targets, 4.0))):
+        assert "RDD" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.columns[:3] == list(raking.MARGINS) and found.count() == 3
+
+
+def test_toxicity_scores_hold_one_text_at_a_time():
+    """A batch of texts isn't held as Python strings beside its Arrow buffer."""
+    import tracemalloc
+
+    model = nb_linear.NaiveBayesLinear(np.zeros(1 << nb_linear.BITS, np.float32), 0.0)
+    texts = pa.array(["word " * 800 + str(i) for i in range(600)] + [None, ""])
+    tracemalloc.start()
+    scores = model.scores(text.as_py() for text in texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scores.tolist() == [0.5] * len(texts) and peak < 1 << 20
