@@ -17,7 +17,7 @@ from operator import itemgetter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,7 @@ TOKENS = (
     "_row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
     "pa array<int>, pb array<int>, pm array<long>"
 )
+COLUMNS = [part.split(" ")[0] for part in TOKENS.split(", ")]
 #: Texts are encoded in pieces of at most this many characters (or one longer text alone), so a task's memory is
 #: bounded by the piece and not by the Arrow batch.
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 18, 64
@@ -42,7 +43,7 @@ def _models(a_path: str, b_path: str):
 
 
 def _load(a_path: str, b_path: str):
-    """A's encoder and B's processor with the bytes of every id, made once per Python worker, one thread each.
+    """A's encoder and B's processor with the bytes of every id and the texts of ids in digests, made once per Python worker, one thread each.
 
     A's vocabulary and merge ranks come from its JSON file: the byte-level letters of each entry give its bytes, its id
     is its rank, and text is split by the vocabulary's pattern before merging. The merges are done by tiktoken's
@@ -75,7 +76,7 @@ def _load(a_path: str, b_path: str):
             b_bytes.append(piece.replace(PIECE_SPACE, " ").encode())
     a_len = np.array([len(x) for x in a_bytes], dtype=np.int64)
     b_len = np.array([len(x) for x in b_bytes], dtype=np.int64)
-    return a, b, a_bytes, b_bytes, a_len, b_len
+    return a, b, a_bytes, b_bytes, a_len, b_len, digest_table(max(len(a_bytes), len(b_bytes)))
 
 
 def groups_of(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -95,58 +96,70 @@ def groups_of(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndar
 NO_IDS = np.zeros(0, dtype=np.int32)
 
 
-def _within(counts: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    """For blocks of the given sizes, each repeated, the position inside its block of every element."""
-    total = int((counts * repeats).sum())
-    starts = np.repeat(np.cumsum(counts * repeats) - counts * repeats, counts * repeats)
-    return (np.arange(total) - starts) % np.repeat(np.maximum(counts, 1), counts * repeats)
+def _within(counts: np.ndarray) -> np.ndarray:
+    """For blocks of the given sizes, the position inside its block of every element."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _joined(table: list[bytes], ids: list[int]) -> bytes:
     return table[ids[0]] if len(ids) == 1 else b"".join(itemgetter(*ids)(table))
 
 
-def align_ids(text: str | None, a_ids: list[int], b_ids: list[int], models) -> dict:
-    """Groups, links and distinct linked pairs of one text's two tokenizations (see the module).
+def digest_table(n_ids: int) -> list[bytes]:
+    """Every id in decimal behind ``;`` (first of its group), ``,`` and ``|`` (B's first behind A's), in that order."""
+    names = [b"%d" % i for i in range(n_ids)]
+    return [mark + name for mark in (b";", b",", b"|") for name in names]
+
+
+def digest(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, counts: tuple, table: list[bytes]) -> str:
+    """sha256 of the groups in order, A's ids before B's. A token's place is its number on its side, and how many
+    tokens of the other side come in groups before: its own group included if it is B's."""
+    a_count, b_count = counts
+    width = len(table) // 3
+    a_first, b_first = np.ones(len(a_ids), bool), np.ones(len(b_ids), bool)
+    a_first[1:], b_first[1:] = a_group[1:] != a_group[:-1], b_group[1:] != b_group[:-1]
+    b_mark = np.where(b_first, np.where(a_count > 0, 2, 0)[b_group], 1)
+    items = np.empty(len(a_ids) + len(b_ids), np.int64)
+    items[np.arange(len(a_ids)) + (np.cumsum(b_count) - b_count)[a_group]] = a_ids + np.where(a_first, 0, width)
+    items[np.arange(len(b_ids)) + np.cumsum(a_count)[b_group]] = b_ids + b_mark * width
+    return hashlib.sha256(_joined(table, items.tolist())[1:]).hexdigest()
+
+
+def linked_pairs(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, counts: tuple) -> tuple:
+    """Distinct linked (A id, B id) pairs, as one number each in order, with their multiplicity.
+
+    Every A token meets every B token of its group: A repeated by the B count, B's block once per A token.
+    """
+    b_count = counts[1]
+    repeats = b_count[a_group]
+    b_at = np.repeat((np.cumsum(b_count) - b_count)[a_group], repeats) + _within(repeats)
+    keys = np.sort((np.repeat(a_ids, repeats) << 32) + b_ids[b_at])
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
+def align_ids(text: str | None, a_ids: list[int], b_ids: list[int], models) -> tuple:
+    """The columns of ``COLUMNS`` of one text's two tokenizations (see the module).
 
     A null or empty text, or one whose tokens' bytes don't join to space + text, has no tokens: zeros, no pairs and
     an empty ``groups_sha256``.
     """
-    _, _, a_bytes, b_bytes, a_len, b_len = models
-    none = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pa": NO_IDS, "pb": NO_IDS, "pm": NO_IDS.astype(np.int64)}
-    if not text:
+    _, _, a_bytes, b_bytes, a_len, b_len, table = models
+    none = (0, 0, 0, 0, "", NO_IDS, NO_IDS, NO_IDS)
+    if not text or not a_ids or not b_ids:
         return none
     whole = (" " + text).encode("utf-8", "surrogatepass")
-    if not a_ids or not b_ids or _joined(a_bytes, a_ids) != whole or _joined(b_bytes, b_ids) != whole:
+    if _joined(a_bytes, a_ids) != whole or _joined(b_bytes, b_ids) != whole:
         return none
-    a_ids, b_ids = np.asarray(a_ids, dtype=np.int64), np.asarray(b_ids, dtype=np.int64)
+    a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
     a_group, b_group, n_groups = groups_of(a_len[a_ids], b_len[b_ids])
-    a_count = np.bincount(a_group, minlength=n_groups)
-    b_count = np.bincount(b_group, minlength=n_groups)
-    # Every A token meets every B token of its group: A repeated by the B count, B's block once per A token.
-    links_a = np.repeat(a_ids, b_count[a_group])
-    b_first = np.cumsum(b_count) - b_count
-    b_at = np.repeat(b_first[a_group], b_count[a_group]) + _within(b_count[a_group], np.ones_like(a_group))
-    key, mult = np.unique(links_a * (1 << 32) + b_ids[b_at], return_counts=True)
-    # The digest: ids in the order group, side, position, with the separator that the next item needs.
-    side = np.concatenate([np.zeros(len(a_ids), np.int64), np.ones(len(b_ids), np.int64)])
-    group = np.concatenate([a_group, b_group])
-    order = np.lexsort((np.arange(len(group)), side, group))
-    ids = np.concatenate([a_ids, b_ids])[order].tolist()
-    group, side = group[order], side[order]
-    seps = np.where(group[1:] != group[:-1], ";", np.where(side[1:] != side[:-1], "|", ",")).tolist()
-    parts = [None] * (2 * len(ids) - 1)
-    parts[0::2] = map(str, ids)
-    parts[1::2] = seps
-    return {
-        "n_a": len(a_ids), "n_b": len(b_ids), "n_groups": n_groups,
-        "n_links": int((a_count * b_count).sum()),
-        "groups_sha256": hashlib.sha256("".join(parts).encode()).hexdigest(),
-        "pa": (key >> 32).astype(np.int32), "pb": (key & 0xFFFFFFFF).astype(np.int32), "pm": mult.astype(np.int64),
-    }
-
-
-def align_batch(texts: list[str | None], models) -> list[dict]:
+    counts = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
+    keys, mult = linked_pairs(a_ids, b_ids, a_group, b_group, counts)
+    found = digest(a_ids, b_ids, a_group, b_group, counts, table)
+    return len(a_ids), len(b_ids), n_groups, int(counts[0] @ counts[1]), found, keys >> 32, keys & 0xFFFFFFFF, mult
+
+
+def align_batch(texts: list[str | None], models) -> list[tuple]:
     """``align_ids`` of many texts, encoded in one call of each tokenizer."""
     a, b = models[0], models[1]
     present = [t if t else "" for t in texts]
@@ -155,26 +168,34 @@ def align_batch(texts: list[str | None], models) -> list[dict]:
     return [align_ids(t, x, y, models) for t, x, y in zip(texts, a_ids, b_ids)]
 
 
+def _record_batch(rows: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``align_ids`` as Arrow columns; the lists of all texts are joined once and cut by offsets."""
+    *plain, a, b, mult = zip(*found)
+    offsets = pa.array(np.cumsum([0, *map(len, a)]), pa.int32())
+    lists = [
+        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(part).astype(kind)))
+        for part, kind in ((a, np.int32), (b, np.int32), (mult, np.int64))
+    ]
+    kinds = [pa.int64()] * 4 + [pa.string()]
+    columns = [rows, *(pa.array(part, kind) for part, kind in zip(plain, kinds)), *lists]
+    return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
+
+
 def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document row, keyed by ``_row``: counts, group digest and distinct linked pairs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(a_path, b_path)
-        columns = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pa", "pb", "pm"]
         for batch in batches:
-            texts, rows = list(batch["text"]), batch["_row"].to_numpy()
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and end - start < CHUNK_TEXTS and (end == start or size < CHUNK_CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                frame = pd.DataFrame(align_batch(texts[start:end], models), columns=columns)
-                frame.insert(0, "_row", rows[start:end])
-                yield frame
-                start = end
-
-    return docs.select("_row", "text").mapInPandas(run, TOKENS)
+            start, held, size = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                held.append(text.as_py())
+                size += len(held[-1] or "")
+                if size >= CHUNK_CHARS or len(held) == CHUNK_TEXTS or i == batch.num_rows - 1:
+                    yield _record_batch(batch.column(0).slice(start, len(held)), align_batch(held, models))
+                    start, held, size = i + 1, [], 0
+
+    return docs.select("_row", "text").mapInArrow(run, TOKENS)
 
 
 def alignment(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:

@@ -299,3 +299,27 @@ def test_a_ids_equal_the_tokenizers_library_on_the_corpus(sf_dir):
     texts = [" " + (t or "") for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()]
     texts += [" <|endoftext|> a b  \t\n\n x's 'll 12345 😀"]
     assert [mine.encode_ordinary(t) for t in texts] == [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_alignment_columns_are_built_without_a_row_or_an_id_at_a_time(spark):
+    """Texts reach Python as Arrow batches, and digests take the decimals of ids from a table."""
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, "x" * (i % 7) + f" naïve {i} ¼日本") for i in range(150)] + [(150, None), (151, "")]
+    found = token_alignment.tokens(spark.createDataFrame(rows, "_row bigint, text string"), *paths)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    models = token_alignment._models(*paths)
+    expected = dict(zip((r[0] for r in rows), token_alignment.align_batch([t for _, t in rows], models)))
+    for r in found.collect():
+        *plain, a, b, mult = expected[r._row]
+        assert [r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256] == plain
+        assert (r.pa, r.pb, r.pm) == (a.tolist(), b.tolist(), mult.tolist())
+
+
+def test_digest_marks_groups_of_one_side():
+    """A group without tokens of A begins with the mark of a group; ids of A come before those of B."""
+    group = [np.array(x) for x in ([0, 0, 2], [0, 1, 1, 2])]
+    counts = tuple(np.bincount(g, minlength=3) for g in group)
+    got = token_alignment.digest(np.array([5, 7, 12]), np.array([1, 2, 3, 4]), *group, counts, token_alignment.digest_table(13))
+    assert got == hashlib.sha256(b"5,7|1;2,3;12|4").hexdigest()
